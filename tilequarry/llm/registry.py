@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, neardup
+from . import bpe, exactspans, neardup
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
@@ -15,9 +15,13 @@ def op2_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.decode(bpe.encode(docs, RANKS, public_tokenizers.PATTERN), RANKS, public_tokenizers.PATTERN))
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exactspans.remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"), length=200, with_text=False)
+
+
 def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), k=3, percent=85)
 
 
-QUERIES = {f.__name__: f for f in (op2_bpe_roundtrip, op9_near_duplicates)}
+QUERIES = {f.__name__: f for f in (op2_bpe_roundtrip, op3_suffix_dedup, op9_near_duplicates)}
 ORACLES: dict[str, str] = {}
