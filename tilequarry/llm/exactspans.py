@@ -241,12 +241,13 @@ def _cut(batches: Iterator[pa.RecordBatch], length: int, with_text: bool) -> Ite
             else:
                 out.append((len(text), 0, 0, text))
         cols = list(zip(*out)) or [(), (), (), ()]
-        yield pa.RecordBatch.from_arrays([batch.column("id"), *(pa.array(cols[k], pa.int64()) for k in range(3)), pa.array([hashlib.sha256(x).hexdigest() for x in cols[3]], pa.string()), pa.array(cols[3] if with_text else [None] * len(out), pa.binary())], ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+        yield pa.RecordBatch.from_arrays([batch.column("id"), *(pa.array(cols[k], pa.int64()) for k in range(3)), pa.array([hashlib.sha256(x).hexdigest() for x in cols[3]], pa.string()), pa.array(cols[3] if with_text else [None] * len(out), pa.binary()), pa.array([x.decode("utf-8", "ignore") for x in cols[3]] if with_text else [None] * len(out), pa.string())], ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "kept_text"])
 
 
 def remove_repeats(docs: DataFrame, length: int = 200, hot: int = 20000, id_col: str = "doc_id", text_col: str = "text", with_text: bool = True) -> DataFrame:
-    """(id, n_bytes, n_removed, n_spans, kept_sha256[, kept binary]) for every row.
-    ``kept`` may cut characters in two where differing characters share bytes."""
+    """(id, n_bytes, n_removed, n_spans, kept_sha256[, kept binary, kept_text]) for
+    every row.  ``kept`` may cut characters in two where differing characters share
+    bytes; ``kept_text`` is ``kept`` without such remains."""
     if not K < length <= 256 + K - 1:
         raise ValueError(f"length must be over {K} and under {256 + K}")
     width = shuffle_width(docs.sparkSession)
@@ -272,5 +273,5 @@ def remove_repeats(docs: DataFrame, length: int = 200, hot: int = 20000, id_col:
         covers[0] = covers[0].unionByName(more)
     per_doc = covers[0].groupBy("uid").agg(F.collect_list("pos").alias("covers"))
     out = source.join(per_doc, "uid", "left").select("id", "text", "covers")
-    out = out.mapInArrow(lambda b: _cut(b, length, with_text), "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary").withColumnRenamed("id", id_col)
-    return out if with_text else out.drop("kept")
+    out = out.mapInArrow(lambda b: _cut(b, length, with_text), "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, kept_text string").withColumnRenamed("id", id_col)
+    return out if with_text else out.drop("kept", "kept_text")

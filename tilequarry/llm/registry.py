@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exactspans, linecrf, neardup
+from . import bpe, decontaminate, exactspans, linecrf, neardup
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
@@ -19,6 +19,10 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exactspans.remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"), length=200, with_text=False)
 
 
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op7_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return linecrf.score(docs, linecrf.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
@@ -28,5 +32,5 @@ def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), k=3, percent=85)
 
 
-QUERIES = {f.__name__: f for f in (op2_bpe_roundtrip, op3_suffix_dedup, op7_line_crf, op9_near_duplicates)}
+QUERIES = {f.__name__: f for f in (op2_bpe_roundtrip, op3_suffix_dedup, op6_decontaminate, op7_line_crf, op9_near_duplicates)}
 ORACLES: dict[str, str] = {}
