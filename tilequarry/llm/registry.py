@@ -4,12 +4,19 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, exactspans, linecrf, neardup
+from . import bpe, decontaminate, exactspans, linecrf, neardup, tokenfile, unigram
 
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
+TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return unigram.token_counts(spark.read.parquet(f"{sf_dir}/documents.parquet"), PIECES)
+
+
 def op2_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return bpe.digests(bpe.decode(bpe.encode(docs, RANKS, public_tokenizers.PATTERN), RANKS, public_tokenizers.PATTERN))
@@ -32,5 +39,10 @@ def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), k=3, percent=85)
 
 
-QUERIES = {f.__name__: f for f in (op2_bpe_roundtrip, op3_suffix_dedup, op6_decontaminate, op7_line_crf, op9_near_duplicates)}
+def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = tokenfile.roundtrip(spark.read.parquet(f"{sf_dir}/documents.parquet"), TOKENIZER, public_tokenizers.PATTERN)
+    return found.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_bpe_roundtrip, op3_suffix_dedup, op6_decontaminate, op7_line_crf, op9_near_duplicates, op10_token_files)}
 ORACLES: dict[str, str] = {}
