@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, exactspans, linecrf, neardup, tokenfile, unigram
+from . import additive, bpe, chat, decontaminate, exactspans, linecrf, neardup, tokenfile, unigram, warc
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -26,6 +26,15 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exactspans.remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"), length=200, with_text=False)
 
 
+def op4_additive_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return additive.nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op5_warc_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.roundtrip(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
@@ -35,6 +44,13 @@ def op7_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linecrf.score(docs, linecrf.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
+def op8_reply_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    odd = "</s>[INST] ok [/INST]"
+    turns = turns.unionByName(spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(odd).alias("text")))
+    return chat.digests(chat.read_back(chat.conversations(chat.best_paths(chat.chain(turns)))))
+
+
 def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), k=3, percent=85)
 
@@ -44,5 +60,16 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_bpe_roundtrip, op3_suffix_dedup, op6_decontaminate, op7_line_crf, op9_near_duplicates, op10_token_files)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_bpe_roundtrip, op3_suffix_dedup, op4_additive_neighbours, op5_warc_roundtrip, op6_decontaminate, op7_line_crf, op8_reply_trees, op9_near_duplicates, op10_token_files)}
+ORACLES: dict[str, str] = {
+    "op5_warc_roundtrip": """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+     d AS (SELECT page_id, strlen(html) AS n, sha256(html) AS h FROM p),
+     f AS (SELECT h, min(page_id) AS first FROM d WHERE n >= 100 GROUP BY h)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, d.h AS payload_digest,
+       CASE WHEN first IS NULL OR first = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN first <> page_id THEN first END AS refers_to
+FROM d LEFT JOIN f ON d.h = f.h
+""",
+    "op8_reply_trees": chat.ORACLE,
+}
