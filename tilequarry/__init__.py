@@ -1,0 +1 @@
+"""Region analytics over very large images, on Spark DataFrames."""

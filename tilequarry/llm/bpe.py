@@ -15,6 +15,7 @@ result; other columns of the input are ignored.
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,7 +27,9 @@ from .common import as_documents, by_bytes, shuffle_width
 from .tokens import rank_codec, vocabulary
 
 #: Text bytes of a chunk, on average.
-CHUNK_BYTES = 24 << 20
+CHUNK_BYTES = 8 << 20
+#: Buckets of words at most; a chunk's words come as one row a bucket.
+MAX_BUCKETS = 1 << 14
 
 
 def _packed(batch: pa.RecordBatch) -> bytes:
@@ -58,48 +61,58 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
     total = docs.select(F.sum(F.octet_length(F.col(text_col))).alias("n")).first()["n"] or 0
     n_chunks = max(1, -(-total // chunk_bytes))
     width = max(shuffle_width(spark), n_chunks)
-    n_buckets = width
+    n_buckets = min(width, MAX_BUCKETS)
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     packs = source.withColumn("chunk", F.pmod(F.xxhash64("id", "text"), F.lit(n_chunks)).cast("long")).mapInArrow(_pack_documents, "chunk long, pack binary").repartition(width, "chunk")
 
+    def buckets_of(distinct) -> dict[int, list[str]]:
+        """A chunk's distinct words by bucket, in one order for question and answer."""
+        asked: dict[int, list[str]] = {}
+        for word in distinct:
+            asked.setdefault(zlib.crc32(word.encode()) % n_buckets, []).append(word)
+        for of_bucket in asked.values():
+            of_bucket.sort()
+        return asked
+
     def ask(chunk: pa.Table) -> pa.Table:
         codec, distinct = rank_codec(shipped, pattern), set()
         for pack in chunk.column("pack"):
             for text in _unpacked(pack.as_py()).column("text").to_pylist():
                 distinct.update(codec.words(text) or ())
-        asked: list[list[str]] = [[] for _ in range(n_buckets)]
-        for word in distinct:
-            asked[zlib.crc32(word.encode()) % n_buckets].append(word)
-        full = [b for b in range(n_buckets) if asked[b]]
-        key = chunk.column("chunk")[0].as_py()
-        return pa.table({"chunk": pa.array([key] * len(full), pa.int64()), "bucket": pa.array(full, pa.int32()), "words": pa.array([_packed(pa.record_batch({"word": pa.array(asked[b], pa.string())})) for b in full], pa.binary())})
+        asked = buckets_of(distinct)
+        packed = [_packed(pa.record_batch({"word": pa.array(x, pa.string())})) for x in asked.values()]
+        return pa.table({"chunk": pa.array([chunk.column("chunk")[0].as_py()] * len(asked), pa.int64()), "bucket": pa.array(list(asked), pa.int32()), "words": pa.array(packed, pa.binary())})
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec, known = rank_codec(shipped, pattern), {}
         for batch in batches:
-            for chunk, data in zip(batch.column("chunk").to_pylist(), batch.column("words")):
+            for chunk, bucket, data in zip(batch.column("chunk"), batch.column("bucket"), batch.column("words")):
                 words = _unpacked(data.as_py()).column("word").to_pylist()
                 for word in words:
                     if word not in known:
                         known[word] = np.array(codec.word_ids(word), "<u4").tobytes()
-                reply = pa.record_batch({"word": pa.array(words, pa.string()), "ids": pa.array([known[w] for w in words], pa.binary())})
-                yield pa.record_batch({"chunk": pa.array([chunk], pa.int64()), "reply": pa.array([_packed(reply)], pa.binary())})
+                reply = pa.record_batch({"ids": pa.array([known[w] for w in words], pa.binary())})
+                yield pa.record_batch({"chunk": pa.array([chunk.as_py()], pa.int64()), "bucket": pa.array([bucket.as_py()], pa.int32()), "reply": pa.array([_packed(reply)], pa.binary())})
 
     def assemble(packed: pa.Table, replies: pa.Table) -> pa.Table:
-        codec, ids = rank_codec(shipped, pattern), {}
-        for data in replies.column("reply"):
-            reply = _unpacked(data.as_py())
-            ids.update(zip(reply.column("word").to_pylist(), reply.column("ids").to_pylist()))
-        keys, out = [], []
+        codec, index = rank_codec(shipped, pattern), {}
+        keys, texts = [], []  # a text as its pre-tokens' places in ``index``, or its ids
         for data in packed.column("pack"):
             batch = _unpacked(data.as_py())
             keys.append(batch.column("id"))
             for text in batch.column("text").to_pylist():
                 words = codec.words(text)
-                out.append(np.array(codec.text_ids(text), "<u4").tobytes() if words is None else b"".join(map(ids.__getitem__, words)))
+                texts.append(np.array(codec.text_ids(text), "<u4").tobytes() if words is None else array("I", [index.setdefault(w, len(index)) for w in words]))
+        ids = [b""] * len(index)
+        asked = buckets_of(index)
+        for bucket, data in zip(replies.column("bucket").to_pylist(), replies.column("reply")):
+            for word, x in zip(asked[bucket], _unpacked(data.as_py()).column("ids").to_pylist()):
+                ids[index[word]] = x
+        del index, asked
+        out = [x if isinstance(x, bytes) else b"".join(map(ids.__getitem__, x)) for x in texts]
         return pa.table({"id": pa.chunked_array(keys, pa.int64()), "ids": pa.array(out, pa.large_binary()).cast(pa.binary())})
 
-    replies = packs.groupBy("chunk").applyInArrow(ask, "chunk long, bucket int, words binary").repartition(width, "bucket").mapInArrow(answer, "chunk long, reply binary")
+    replies = packs.groupBy("chunk").applyInArrow(ask, "chunk long, bucket int, words binary").repartition(width, "bucket").mapInArrow(answer, "chunk long, bucket int, reply binary")
     return packs.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(assemble, "id long, ids binary").select(F.col("id").alias(id_col), "ids")
 
 
