@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping
-from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame
 
@@ -19,23 +18,28 @@ class _Builder:
         self._reset()
 
     def _reset(self) -> None:
-        self.grid, self.tolerance, self.log, self.segmenter = Grid(), 1, SilentLog(), None
+        self._grid, self.tolerance, self.log, self.segmenter = {}, 1, SilentLog(), None
         self.seg_batch_size, self.n_jobs = 1, 1
 
+    @property
+    def grid(self) -> Grid:
+        """Checked only when it is whole: setters may come in any order."""
+        return Grid(**self._grid)
+
     def set_segmenter(self, segmenter: Column | Callable):
         self.segmenter = segmenter
         return self
 
     def set_tile_size(self, height: int, width: int):
-        self.grid = replace(self.grid, height=height, width=width)
+        self._grid |= {"height": height, "width": width}
         return self
 
     def set_overlap(self, overlap: int):
-        self.grid = replace(self.grid, overlap=overlap)
+        self._grid["overlap"] = overlap
         return self
 
     def set_border_tiles(self, borders: str):
-        self.grid = replace(self.grid, borders=borders)
+        self._grid["borders"] = borders
         return self
 
     def set_distance_tolerance(self, tolerance: int):
