@@ -74,9 +74,14 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
 
 
+def _near_one(x: np.ndarray) -> np.ndarray:
+    return np.ldexp(x, -np.frexp(np.abs(x).max(1, keepdims=True))[1])
+
+
 def cosines(query: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Cosine in double precision on the original components."""
-    q, x = query.astype(np.float64), x.astype(np.float64)
+    """Cosine in double precision on the original components.  Each vector is first
+    scaled by a power of two, which is exact, so that no square leaves the range."""
+    q, x = _near_one(query.astype(np.float64)[None])[0], _near_one(x.astype(np.float64))
     return (x @ q) / (np.sqrt((x * x).sum(1)) * np.sqrt((q * q).sum()))
 
 
