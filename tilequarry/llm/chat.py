@@ -28,7 +28,6 @@ from pyspark.sql import functions as F
 from .common import written
 
 START, END, BREAK = "<|im_start|>", "<|im_end|>\n", "<|nl|>"
-MAX_ROUNDS = 40
 
 
 def escaped(text: Column) -> Column:
@@ -57,9 +56,10 @@ def best_paths(nodes: DataFrame, branches: int = 1) -> DataFrame:
     reach = nodes.select("key", "node", "parent", "score").join(own, ["key", "parent"], "left")
     reach = written(reach.select("key", "node", F.when(F.col("found"), F.col("parent")).alias("up"), F.lit(1).cast("long").alias("steps"), "score"), "reach-0")
     jumps = [reach]
+    largest = nodes.groupBy("key").count().agg(F.max("count").alias("n")).first()["n"] or 0
     while not reach.where("up IS NOT NULL").limit(1).isEmpty():
-        if len(jumps) > MAX_ROUNDS:
-            break  # what still points on is on or under a cycle
+        if 1 << (len(jumps) - 1) > largest:
+            break  # further than any path: what still points on is on or under a cycle
         above = reach.select("key", F.col("node").alias("up"), F.col("up").alias("next"), F.col("steps").alias("more"), F.col("score").alias("plus"))
         reach = reach.join(above, ["key", "up"], "left").select("key", "node", F.col("next").alias("up"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps"), (F.col("score") + F.coalesce("plus", F.lit(0.0))).alias("score"))
         reach = written(reach, f"reach-{len(jumps)}")
