@@ -19,9 +19,10 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def _row(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``row``, a key of id and text; null text as empty.  Rows that
-    agree on both are one as far as any stage can tell, and share its verdict."""
-    return docs.withColumn("text", F.coalesce("text", F.lit(""))).withColumn("row", F.xxhash64("doc_id", "text"))
+    """The columns of documents with ``row``, a key of id and text; null text as empty.
+    Rows that agree on both are one as far as any stage can tell, and share its
+    verdict."""
+    return docs.select(*COLUMNS).withColumn("text", F.coalesce("text", F.lit(""))).withColumn("row", F.xxhash64("doc_id", "text"))
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
