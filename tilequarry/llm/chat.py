@@ -69,8 +69,8 @@ def best_paths(nodes: DataFrame, branches: int = 1) -> DataFrame:
     ranked = rooted.join(parents, ["key", "node"], "left_anti").withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy(F.desc("score"), "node")))
     path = ranked.where(F.col("rank") <= branches).select("key", F.col("node").alias("leaf"), "rank", "node")
     for jump in reversed(jumps[:-1]):
-        step = jump.where("up IS NOT NULL").select("key", "node", "up")
-        path = path.union(path.join(step, ["key", "node"]).select("key", "leaf", "rank", F.col("up").alias("node")))
+        step = jump.where("up IS NOT NULL").select("key", "node", "up")  # each node brings its ancestor along
+        path = path.join(step, ["key", "node"], "left").select("key", "leaf", "rank", F.explode(F.array_compact(F.array("node", "up"))).alias("node"))
     depth = rooted.select("key", "node", F.col("steps").alias("depth"))
     return path.join(depth, ["key", "node"]).join(nodes.drop("score", "parent"), ["key", "node"]).select("tree", "leaf", "rank", "depth", "role", "text")
 
