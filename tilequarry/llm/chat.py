@@ -22,6 +22,8 @@ ignored.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -55,21 +57,23 @@ def best_paths(nodes: DataFrame, branches: int = 1) -> DataFrame:
     own = nodes.select("key", F.col("node").alias("parent"), F.lit(True).alias("found"))
     reach = nodes.select("key", "node", "parent", "score").join(own, ["key", "parent"], "left")
     reach = written(reach.select("key", "node", F.when(F.col("found"), F.col("parent")).alias("up"), F.lit(1).cast("long").alias("steps"), "score"), "reach-0")
-    jumps = [reach]
+    first, ended, jumps = reach, [reach.where("up IS NULL")], []
     largest = nodes.groupBy("key").count().agg(F.max("count").alias("n")).first()["n"] or 0
-    while not reach.where("up IS NOT NULL").limit(1).isEmpty():
-        if 1 << (len(jumps) - 1) > largest:
+    while not (active := reach.where("up IS NOT NULL")).limit(1).isEmpty():
+        if 1 << len(jumps) > largest:
             break  # further than any path: what still points on is on or under a cycle
-        above = reach.select("key", F.col("node").alias("up"), F.col("up").alias("next"), F.col("steps").alias("more"), F.col("score").alias("plus"))
-        reach = reach.join(above, ["key", "up"], "left").select("key", "node", F.col("next").alias("up"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps"), (F.col("score") + F.coalesce("plus", F.lit(0.0))).alias("score"))
-        reach = written(reach, f"reach-{len(jumps)}")
-        jumps.append(reach)
-    rooted = reach.where("up IS NULL")
-    parents = jumps[0].where("up IS NOT NULL").select("key", F.col("up").alias("node"))
+        jumps.append(active)
+        known = reduce(DataFrame.union, [*ended, active])
+        above = known.select("key", F.col("node").alias("up"), F.col("up").alias("next"), F.col("steps").alias("more"), F.col("score").alias("plus"))
+        reach = active.join(above, ["key", "up"], "left").select("key", "node", F.col("next").alias("up"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps"), (F.col("score") + F.coalesce("plus", F.lit(0.0))).alias("score"))
+        reach = written(reach, f"reach-{len(jumps)}")  # only what isn't at its root yet
+        ended.append(reach.where("up IS NULL"))
+    rooted = reduce(DataFrame.union, ended)
+    parents = first.where("up IS NOT NULL").select("key", F.col("up").alias("node"))
     ranked = rooted.join(parents, ["key", "node"], "left_anti").withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy(F.desc("score"), "node")))
     path = ranked.where(F.col("rank") <= branches).select("key", F.col("node").alias("leaf"), "rank", "node")
-    for jump in reversed(jumps[:-1]):
-        step = jump.where("up IS NOT NULL").select("key", "node", "up")  # each node brings its ancestor along
+    for jump in reversed(jumps):
+        step = jump.select("key", "node", "up")  # each node brings its ancestor along
         path = path.join(step, ["key", "node"], "left").select("key", "leaf", "rank", F.explode(F.array_compact(F.array("node", "up"))).alias("node"))
     depth = rooted.select("key", "node", F.col("steps").alias("depth"))
     return path.join(depth, ["key", "node"]).join(nodes.drop("score", "parent"), ["key", "node"]).select("tree", "leaf", "rank", "depth", "role", "text")
