@@ -6,9 +6,12 @@ strings (leftmost of equals).  It depends on the string's content alone, so equa
 strings have equal anchors at equal offsets, and consecutive starts share one
 anchor: a text is a sequence of runs, one per anchor.
 
-1. Runs are dealt by the anchor's fingerprint and streamed in order.  Runs whose
-   whole content occurs again are covered at once, however many there are; only
-   one of them goes on, and only where the anchor has differing surroundings.
+1. Of equal runs in one batch of texts all are covered at once and one goes on for
+   them, so a passage costs a row a batch at most, whatever share of the corpus
+   holds it.  What goes on is dealt by the anchor's fingerprint and streamed in
+   order.  Runs whose whole content occurs again are covered, however many there
+   are; only one of them goes on, and only where the anchor has differing
+   surroundings.
 2. Those surroundings are fetched from their documents and form shards of whole
    anchors.  Each shard gets a suffix array by induced sorting and its permuted
    common prefixes; neighbours that agree on ``length`` bytes are covered.
@@ -39,6 +42,8 @@ from .suffix import permuted_lcp, suffix_array
 K = 64
 SHARD_BYTES = 1 << 20
 ROW = "fp long, seg long, uid long, pos long"
+FOLDED = ROW + ", state byte"
+ALONE, SEVERAL, DONE = 0, 1, 2  # a run alone in its batch, one for several, one of several
 
 
 def _prefix_hash(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -88,17 +93,32 @@ def _runs(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordB
             yield pa.RecordBatch.from_arrays([pa.array(gram[a].view(np.int64)), pa.array(seg.view(np.int64)), pa.array(uid), pa.array(pos)], ["fp", "seg", "uid", "pos"])
 
 
+def _folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The runs with their state among those of their batch."""
+    for batch in batches:
+        fp, seg, pos = (batch.column(c).to_numpy() for c in ("fp", "seg", "pos"))
+        order = np.argsort(seg, kind="stable")
+        a, b = order[:-1], order[1:]
+        same = (seg[a] == seg[b]) & (fp[a] == fp[b]) & ((pos[a] & 0xFFFF) == (pos[b] & 0xFFFF))
+        state = np.full(len(seg), ALONE, np.int8)
+        state[a[same]] = SEVERAL
+        state[b[same]] = DONE
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(state)], [*batch.schema.names, "state"])
+
+
 def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From runs sorted by (fp, seg): (covered true, ...) for each run whose segment
-    occurs again, and (covered false, ...) for the first run of each segment of an
-    anchor with several.  Holds one batch and two rows, whatever a key's size."""
-    held = np.zeros((4, 0), np.int64)  # the row before, not yet decided
+    """From runs in state DONE and then the others sorted by (fp, seg): (covered true,
+    ...) for each run whose segment occurs again, and (covered false, ...) for the
+    first run of each segment of an anchor with several.  Holds one batch and two
+    rows, whatever a key's size."""
+    held = np.zeros((5, 0), np.int64)  # the row before, not yet decided
     held_same = held_new = False
-    head = np.zeros((4, 0), np.int64)  # the first run of the current anchor while it has one segment
+    head = np.zeros((5, 0), np.int64)  # the first run of the current anchor while it has one segment
 
     def decide(rows: np.ndarray, same_before: np.ndarray, new: np.ndarray, same_after: np.ndarray, opens: np.ndarray):
         nonlocal head
-        out = [np.vstack([np.ones(int((same_before | same_after).sum()), np.int64)[None], rows[:, same_before | same_after]])]
+        twice = same_before | same_after | (rows[4] == SEVERAL)
+        out = [_marked(1, rows[:, twice])]
         asked = np.flatnonzero(new & ~opens)
         if len(asked):
             opening = np.flatnonzero(opens)
@@ -108,8 +128,7 @@ def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if (own < 0).any() and head.shape[1]:
                 asked_rows.append(head)
                 head = head[:, :0]
-            for x in asked_rows:
-                out.append(np.vstack([np.zeros(x.shape[1], np.int64)[None], x]))
+            out += [_marked(0, x) for x in asked_rows]
             if len(opening) and opening[-1] < asked[-1]:
                 head = head[:, :0]
             elif len(opening):
@@ -117,15 +136,19 @@ def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         elif opens.any():
             last = int(np.flatnonzero(opens)[-1])
             head = rows[:, last : last + 1]
-        both = np.concatenate(out, axis=1)
-        return pa.RecordBatch.from_arrays([pa.array(both[0].astype(bool)), *(pa.array(x) for x in both[1:])], ["covered", "fp", "seg", "uid", "pos"])
+        return pa.Table.from_batches(out).combine_chunks().to_batches() if any(len(x) for x in out) else ()
 
     same = lambda x, y: (x[0] == y[0]) & (x[1] == y[1]) & ((x[3] & 0xFFFF) == (y[3] & 0xFFFF))
     opens_held = np.zeros(1, bool)
     for batch in batches:
         if not batch.num_rows:
             continue
-        rows = np.vstack([batch.column(c).to_numpy() for c in ("fp", "seg", "uid", "pos")])
+        rows = np.vstack([batch.column(c).to_numpy() for c in ("fp", "seg", "uid", "pos", "state")])
+        if rows[4, 0] == DONE:
+            yield _marked(1, rows[:, rows[4] == DONE])
+            rows = rows[:, rows[4] != DONE]
+            if not rows.shape[1]:
+                continue
         had = held.shape[1]
         rows = np.concatenate([held, rows], axis=1)
         equal = same(rows[:, 1:], rows[:, :-1])
@@ -133,10 +156,14 @@ def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         new = np.concatenate([[held_new if had else True], ~equal])
         opens = np.concatenate([opens_held if had else [True], rows[0, 1:] != rows[0, :-1]])
         if rows.shape[1] > 1:
-            yield decide(rows[:, :-1], before[:-1], new[:-1], equal, opens[:-1])
+            yield from decide(rows[:, :-1], before[:-1], new[:-1], equal, opens[:-1])
         held, held_same, held_new, opens_held = rows[:, -1:], bool(before[-1]), bool(new[-1]), opens[-1:]
     if held.shape[1]:
-        yield decide(held, np.array([held_same]), np.array([held_new]), np.zeros(1, bool), opens_held)
+        yield from decide(held, np.array([held_same]), np.array([held_new]), np.zeros(1, bool), opens_held)
+
+
+def _marked(covered: int, rows: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.full(rows.shape[1], bool(covered))), *(pa.array(x) for x in rows[:4])], ["covered", "fp", "seg", "uid", "pos"])
 
 
 def _segments(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
@@ -255,9 +282,10 @@ def remove_repeats(docs: DataFrame, length: int = 200, hot: int = 20000, id_col:
     found = "covered boolean, " + ROW
 
     def dealt(rows: DataFrame, *keys: str) -> DataFrame:
-        return rows.repartition(width, *keys).sortWithinPartitions("fp", "seg", F.col("pos").bitwiseAND(0xFFFF)).mapInArrow(_repeats, found)
+        key = F.when(F.col("state") == DONE, F.xxhash64("uid", "pos")).otherwise(F.xxhash64(*keys))
+        return rows.repartition(width, key).sortWithinPartitions(F.col("state") != DONE, "fp", "seg", F.col("pos").bitwiseAND(0xFFFF)).mapInArrow(_repeats, found)
 
-    runs = source.where(F.octet_length("text") >= length).select("uid", "text").mapInArrow(lambda b: _runs(b, length), ROW)
+    runs = source.where(F.octet_length("text") >= length).select("uid", "text").mapInArrow(lambda b: _folded(_runs(b, length)), FOLDED)
     first = written(dealt(runs, "fp"), "repeats")
     asked = first.where("NOT covered")
     per_doc = asked.groupBy("uid").agg(F.collect_list(F.struct("fp", "pos")).alias("asks"))
@@ -267,7 +295,7 @@ def remove_repeats(docs: DataFrame, length: int = 200, hot: int = 20000, id_col:
     shards = segments.join(crowded, "fp", "left_anti").repartition(width, "fp").sortWithinPartitions("fp")
     covers = [first.where("covered").select("uid", "pos"), shards.mapInArrow(lambda b: _covers(b, length), "uid long, pos long")]
     if not crowded.isEmpty():
-        strings = segments.join(crowded, "fp").mapInArrow(lambda b: _strings(b, length), ROW)
+        strings = segments.join(crowded, "fp").mapInArrow(lambda b: _folded(_strings(b, length)), FOLDED)
         covers.append(dealt(strings, "fp", "seg").where("covered").select("uid", "pos"))
     for more in covers[1:]:
         covers[0] = covers[0].unionByName(more)
