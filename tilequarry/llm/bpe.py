@@ -27,7 +27,7 @@ from .common import as_documents, by_bytes, shuffle_width
 from .tokens import rank_codec, vocabulary
 
 #: Text bytes of a chunk, on average.
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 4 << 20
 #: Buckets of words at most; a chunk's words come as one row a bucket.
 MAX_BUCKETS = 1 << 14
 

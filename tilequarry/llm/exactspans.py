@@ -66,7 +66,7 @@ def _runs(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordB
     the anchor's offset from the first start."""
     w = length - K + 1
     with np.errstate(over="ignore"):
-        for batch in by_bytes(batches, "text", 2 << 20):
+        for batch in by_bytes(batches, "text"):
             data, offsets = text_buffer(batch.column("text"))
             if len(data) < length:
                 continue
@@ -235,7 +235,7 @@ def _covers(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Recor
 def _strings(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     """Every string of hot segments as a run of one start, known by 128 bits."""
     with np.errstate(over="ignore"):
-        for batch in by_bytes(batches, "seg", 1 << 20):
+        for batch in by_bytes(batches, "seg"):
             data, offsets = text_buffer(batch.column("seg"))
             total, down = _prefix_hash(data)
             other = np.zeros(len(data) + 1, np.uint64)

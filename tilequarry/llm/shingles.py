@@ -51,7 +51,7 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return hashes, np.searchsorted(begin, offsets)
 
 
-def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int, block: int = 4 << 20) -> tuple[np.ndarray, np.ndarray]:
+def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int, block: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
     """Each text's distinct shingles of ``k`` words, sorted; with fewer words the
     whole sequence is one shingle; without words the set is empty.  Returns the
     concatenated sets and their offsets."""
