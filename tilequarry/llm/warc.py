@@ -4,9 +4,12 @@ Writing: payloads are known by SHA-256; of equal payloads of ``least`` bytes or
 more the smallest page id is the response and the others are revisits without a
 body.  Each task sorts its captures by (URL key, time, page id), so each file is a
 sorted run.  Records go through Spark's text writer, whose line separator is the
-CRLF CRLF that ends a WARC record; it reaches every store and commits tasks.
+CRLF CRLF that ends a WARC record; it reaches every store and commits tasks.  Files
+are gzip (.gz) of bounded record counts; offsets in the index are those of the
+archive inside.
 
-Reading: files come back as bytes and are parsed by Content-Length.  The capture
+Reading: files come back as bytes, are unpacked one at a time and parsed by
+Content-Length.  The capture
 runs are dealt by ranges of (URL key, time, page id) and each range is merged from
 its runs by a loser tree, so the index is in global order across its shards.
 
@@ -18,6 +21,7 @@ columns are ignored.  A record must fit in a task's memory.
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 from collections.abc import Iterator
 
@@ -40,7 +44,7 @@ def url_key(url: Column) -> Column:
     return F.concat(F.array_join(F.reverse(F.split(host, r"\.")), ","), F.lit(")"), F.when(rest == "", "/").otherwise(rest))
 
 
-def write(pages: DataFrame, path: str, least: int = 100, captured: str = "2024-01-01T00:00:00Z", records_a_file: int = 20000) -> None:
+def write(pages: DataFrame, path: str, least: int = 100, captured: str = "2024-01-01T00:00:00Z", records_a_file: int = 5000) -> None:
     """One record for each row of ``pages`` (page_id, url, html) under ``path``."""
     clean = F.regexp_replace(F.coalesce("url", F.lit("")), r"[\x00-\x20]", "%20")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), clean.alias("url"), F.coalesce("html", F.lit("")).alias("html"))
@@ -56,12 +60,12 @@ def write(pages: DataFrame, path: str, least: int = 100, captured: str = "2024-0
     refers = F.when(F.col("revisit"), F.concat(line("WARC-Profile", F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")), line("WARC-Refers-To", urn(F.col("first"))))).otherwise("")
     head = F.concat(F.lit(f"WARC/1.1{CRLF}"), line("WARC-Type", F.when(F.col("revisit"), "revisit").otherwise("response")), line("WARC-Record-ID", urn(F.col("page_id"))), line("WARC-Date", F.lit(captured)), line("WARC-Target-URI", F.col("url")), line("X-URL-Key", F.col("url_key")), line("WARC-Payload-Digest", F.concat(F.lit("sha256:"), F.col("digest"))), refers, F.lit(f"Content-Type: application/http;msgtype=response{CRLF}"), line("Content-Length", length.cast("string")), F.lit(CRLF))
     runs = rows.select("url_key", "page_id", F.concat(head, block).alias("value")).sortWithinPartitions("url_key", "page_id")
-    runs.select("value").write.option("lineSep", CRLF + CRLF).option("maxRecordsPerFile", records_a_file).text(path)
+    runs.select("value").write.option("lineSep", CRLF + CRLF).option("maxRecordsPerFile", records_a_file).option("compression", "gzip").text(path)
 
 
-def parse(data: memoryview | bytes) -> Iterator[tuple[int, dict[str, str], bytes]]:
+def parse(data: bytes) -> Iterator[tuple[int, dict[str, str], bytes]]:
     """(offset, named fields, block) of each record of an archive."""
-    data, at = bytes(data), 0
+    at = 0
     while at < len(data):
         stop = data.index(b"\r\n\r\n", at)
         lines = data[at:stop].decode().split(CRLF)
@@ -87,7 +91,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             for name, content in zip(batch.column("path").to_pylist(), batch.column("content")):
                 out = []
-                for seq, (at, fields, block) in enumerate(parse(content.as_buffer())):
+                for seq, (at, fields, block) in enumerate(parse(gzip.decompress(content.as_buffer()))):
                     head, _, payload = block.partition(b"\r\n\r\n")
                     kind = fields["WARC-Type"]
                     if kind == "response":
