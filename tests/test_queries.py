@@ -18,5 +18,5 @@ def test_query_equals_sql(spark, name):
     assert not differences(found, oracle(registry.ORACLES[name], WHERE))
 
 
-def test_every_query_has_sql_but_those_tested_elsewhere():
+def test_every_query_has_sql_but_the_outlines():
     assert set(registry.QUERIES) - set(registry.ORACLES) == {"region_shapes"}

@@ -477,5 +477,5 @@ def timing_valid_phase(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def region_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """WKT outlines and hull circularity; held against cell counts in the tests."""
+    """WKT outlines and hull circularity."""
     return geometry.shapes(_whole(spark, sf_dir), "image_id", "rid")
