@@ -35,10 +35,13 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates (five-word shingles, similarity 0.8), the
-    document of the smallest id stays."""
-    found = neardup.near_duplicates(docs, k=5, percent=80)
-    gone = found.where("NOT kept AND doc_id IS NOT NULL").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    document of the smallest id stays (of rows that share it, one).  Each row has a key
+    of its own in the order of ids, so that only the rows found go; rows with null ids
+    have none and stay."""
+    placed = docs.select(*COLUMNS, F.monotonically_increasing_id().alias("place")).orderBy("doc_id", F.xxhash64("text"), "place")
+    keyed = written(placed.select(*COLUMNS, F.monotonically_increasing_id().alias("at")), "rows").withColumn("row", F.when(F.col("doc_id").isNotNull(), F.col("at")))
+    gone = neardup.near_duplicates(keyed, k=5, percent=80, id_col="row").where("NOT kept AND row IS NOT NULL").select("row")
+    return keyed.join(gone, "row", "left_anti").select(*COLUMNS)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

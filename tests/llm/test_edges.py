@@ -253,3 +253,11 @@ def test_stages(spark, docs, none, tmp_path, name, stage):
     if name == "near_duplicates":
         assert sizes(rows) == [x for x in EVERY if x not in ((False, 4), (False, 6))]
     assert stage(spark, none, str(tmp_path)).collect() == []
+
+def test_near_duplicates_stage_drops_rows_not_ids(spark, tmp_path):
+    other = "apples grow on trees while pears fall down and nobody counts the days that pass"
+    near = " ".join(f"n{i}" for i in range(60))
+    rows = [(1, WORDS), (2, WORDS), (2, other), (5, other), (7, near), (6, near + " end"), (6, near + " end"), (9, ""), (9, None)]
+    some = spark.createDataFrame([(k, t, "en", "s", None) for k, t in rows], KINDS)
+    left = corpus_pipeline.near_duplicates(spark, some, str(tmp_path)).collect()
+    assert sorted(((r.doc_id, r.text) for r in left), key=repr) == sorted([(1, WORDS), (2, other), (6, near + " end"), (9, ""), (9, None)], key=repr)
