@@ -118,6 +118,27 @@ def test_neighbours(spark):
     assert {r.query_id for r in found} == {0, 50}
     assert additive.nearest(df.where("false")).collect() == []
 
+def test_neighbours_of_repeated_rows(spark):
+    """Repeated rows, ids with several vectors, and vectors that many ids share."""
+    at = lambda i: [float(np.cos(i / 20)), float(np.sin(i / 20)), 0.0]
+    rows = [(0, at(0))] * 5 + [(i, at(i)) for i in range(1, 9)] + [(1, at(1))] * 9 + [(2, at(2.5 + i / 1000)) for i in range(20)] + [(0, at(3))]
+    rows += [(20, at(1))]  # beside ten rows of id 1
+    found = additive.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), rerank=8).collect()
+    best = {}
+    for i, v in rows:
+        best[i] = max(best.get(i, -1.0), *(float(np.dot(v, w)) for j, w in rows if j == 0)) if i else 0.0
+    best.pop(0)
+    want = sorted(best, key=lambda i: (-round(best[i], 9), i))[:5]
+    assert len(want) == len(set(want)) == 5
+    got = sorted(((r["rank"], r.vec_id, r.score) for r in found if r.query_id == 0))
+    assert [g[0] for g in got] == [1, 2, 3, 4, 5] and {g[1] for g in got} == set(want)
+    assert all(abs(s - best[i]) < 1e-9 for _, i, s in got)
+    # copies of query and candidates alone
+    plain = [(0, at(0)), *((i, at(i)) for i in range(1, 9)), (20, at(1))]
+    many = [r for r in plain for _ in range(7)]
+    one, seven = (sorted(additive.nearest(spark.createDataFrame(x, "vec_id long, embedding array<double>")).collect()) for x in (plain, many))
+    assert [(r["rank"], r.vec_id) for r in seven] == [(1, 1), (2, 20), (3, 2), (4, 3), (5, 4)] and seven == one
+
 
 def test_warc(spark):
     big = "<p>" + "x" * 200 + "</p>\r\n\r\nWARC/1.1\r\n"

@@ -9,12 +9,14 @@ the original vectors, and the best of all blocks are the result.
 
 The codebooks are fitted on at most ``sample`` rows (smallest by a hash of the
 id); every row is indexed.  Equal vectors are one row of the index with the
-smallest ``k + 1`` ids, all that any result can name.  Queries come in packs and
+smallest ``k + 1`` ids, all that any result can name; where an id has many vectors,
+they count once among the ``rerank``.  Queries come in packs and
 stream past blocks of the index, so a task holds one block and one pack.
 
 Defined cases: vectors that are null, zero, hold null or non-finite components, or
 have another dimension than most take no part, neither as query nor as candidate;
-rows that share a query's id count as its own; null ids take no part; equal scores
+rows that share a query's id count as its own; repeated rows count once, and an id
+with several vectors is named once a query, by its largest score; null ids take no part; equal scores
 go to the smaller id; an empty table gives no rows; other columns are ignored.
 """
 
@@ -94,7 +96,7 @@ def nearest(vectors: DataFrame, every: int = 50, k: int = 5, rerank: int = 128,
     rows = rows.where(F.col("id").isNotNull() & F.col("v").isNotNull() & ~F.exists("v", bad) & F.exists("v", lambda v: v != 0))
     sizes = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).limit(1).collect()
     dim = sizes[0]["d"] if sizes else 1
-    rows = rows.where(F.size("v") == dim)
+    rows = rows.where(F.size("v") == dim).distinct()
     smallest = Window.partitionBy("v").orderBy("id")
     classes = rows.withColumn("n", F.row_number().over(smallest)).where(F.col("n") <= k + 1).groupBy("v").agg(F.sort_array(F.collect_list("id")).alias("ids"))
     classes = written(classes, "vectors")
@@ -142,8 +144,11 @@ def nearest(vectors: DataFrame, every: int = 50, k: int = 5, rerank: int = 128,
                 if ready is None:
                     join = lambda c, t: np.concatenate([np.frombuffer(r[c], t) for r in held])
                     ready = join("ids", np.int64).reshape(-1, k + 1), join("codes", np.uint8).reshape(-1, len(books)), join("norms", np.float32), join("vectors", np.float64).reshape(-1, dim)
-                    order = np.argsort(ready[0][:, 0])
+                    order = np.lexsort(ready[0].T[::-1])
                     ready = tuple(a[order] for a in ready)
+                    same = (ready[0][1:] == ready[0][:-1]).all(1)
+                    heads = np.flatnonzero(np.concatenate([[True], ~same]))  # of runs of vectors with the same ids
+                    runs = np.diff(heads, append=len(order))
                 ids, codes, norms, x = ready
                 who, q = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["vectors"], np.float64).reshape(-1, dim)
                 table = np.einsum("qd,mwd->mqw", _unit(q), books, optimize=True)
@@ -153,12 +158,18 @@ def nearest(vectors: DataFrame, every: int = 50, k: int = 5, rerank: int = 128,
                     for m in range(len(books)):
                         approx += table[m, i][codes[:, m]]
                     approx /= np.maximum(norms, 1e-6)
+                    approx = np.maximum.reduceat(approx, heads)
                     best = np.argpartition(-approx, rerank)[:rerank] if rerank < len(approx) else np.arange(len(approx))
+                    if len(heads) < len(codes):
+                        chosen = np.zeros(len(heads), bool)
+                        chosen[best] = True
+                        best = np.flatnonzero(np.repeat(chosen, runs))
                     score = np.repeat(cosines(q[i], x[best]), k + 1)
                     near = ids[best].ravel()
                     ok = (near != np.iinfo(np.int64).max) & (near != who[i])
                     score, near = score[ok], near[ok]
-                    top = np.lexsort((near, -score))[:k]
+                    top = np.lexsort((near, -score))
+                    top = top[np.sort(np.unique(near[top], return_index=True)[1])[:k]]
                     found.append((np.full(len(top), who[i]), near[top], score[top]))
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found)], ["query_id", "vec_id", "score"])
 
@@ -166,5 +177,6 @@ def nearest(vectors: DataFrame, every: int = 50, k: int = 5, rerank: int = 128,
     asked = rows.where(F.col("id") % every == 0).mapInArrow(packs, "pack long, ids binary, vectors binary")
     asked = asked.select(F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("block"), F.lit(True).alias("query"), "ids", F.lit(None).cast("binary").alias("codes"), F.lit(None).cast("binary").alias("norms"), "vectors")
     found = dealt.union(asked).repartition(n_blocks, "block").sortWithinPartitions("block", "query").mapInArrow(search, "query_id long, vec_id long, score double")
+    found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
