@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import hashlib
 import zlib
+from collections import Counter
 
 import corpus_pipeline
 import numpy as np
@@ -172,6 +173,57 @@ def test_decontamination(docs, none, benchmark, spark):
     found = {r.doc_id: (r.contaminated, r.item_id) for r in decontaminate.leaks(some, benchmark).collect()}
     assert found == {1: (True, 1), 2: (True, 1), 3: (False, None), 4: (False, None)}
 
+def test_decontamination_as_all_alignments_give_it(spark):
+    """Altered items inside other text, against every window aligned with every item."""
+    rng = np.random.default_rng(8)
+    names = np.array([f"w{i}" for i in range(3000)])
+    p = 1 / np.arange(2, 3002)
+    draw = lambda n: names[rng.choice(3000, n, p=p / p.sum())].tolist()
+    bench = [draw(int(rng.integers(6, 12))) for _ in range(250)]
+    held = sorted({w for item in bench for w in item})
+    docs = []
+    for item in bench:  # among words of the benchmark, the item's own as well
+        altered = [w if rng.random() > 0.3 else "w0" for w in item]
+        around = [rng.choice(held + item * 20, 60).tolist() for _ in range(2)]
+        docs.append(around[0] + altered + around[1])
+    docs += [draw(150) for _ in range(20)] + bench[:20]
+    longest = max(map(len, bench))
+    stride = max(32, longest // 2)
+    size = longest + stride
+    windows = [[d[s : s + size] for s in range(0, max(1, len(d) - size + stride), stride)] for d in docs]
+    df = Counter(w for d in windows for part in d for w in set(part))
+    total = sum(map(len, windows))
+    order = {w: k for k, w in enumerate(sorted({w for item in bench for w in item}))}
+    idf = np.log1p(total) - np.log1p([df[w] for w in order]) + 1e-3
+    want = {}
+    for k, parts in enumerate(windows):
+        own = set()
+        for i, item in enumerate(bench):
+            distinct = sorted(set(item), key=lambda w: (-idf[order[w]], order[w]))
+            rare = set(distinct[: max(2, -(-len(distinct) // 4))])
+            for part in parts:
+                n, stop = common(item, part)
+                if n >= 0.6 * len(item):
+                    back = common(item[::-1], part[:stop][::-1])[1]
+                    if len(rare.intersection(part[stop - back : stop])) >= max(1, int(np.ceil(0.5 * len(rare)))):
+                        own.add(i)
+        want[k] = len(own)
+    found = decontaminate.leaks(spark.createDataFrame([(k, " ".join(d)) for k, d in enumerate(docs)], "doc_id long, text string"), spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(bench)], "item_id long, text string")).collect()
+    assert {r.doc_id: r.n_items for r in found} == want
+    assert all(want[k] for k in range(270, 290)) and sum(bool(want[k]) for k in range(250)) > 100
+
+
+def common(item: list, part: list) -> tuple[int, int]:
+    """Length of the longest common subsequence, and the words of ``part`` it needs from its start."""
+    row, best, at = [0] * (len(item) + 1), 0, 0
+    for k, w in enumerate(part):
+        last = row[:]
+        for j, x in enumerate(item):
+            row[j + 1] = last[j] + 1 if x == w else max(last[j + 1], row[j])
+        if row[-1] > best:
+            best, at = row[-1], k + 1
+    return best, at
+
 
 def test_line_field(docs, none, spark):
     labels = spark.createDataFrame([(3, 1, 0), (4, 0, 0), (4, 1, 0), (6, 0, None), (7, None, 0), (None, 1, 1), (8, 5, 0), (1, 1, 0), (2, 0, 0)], "doc_id long, quality int, toxic int")

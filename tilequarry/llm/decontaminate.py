@@ -7,12 +7,14 @@
    A'(A W) for its TF-IDF passages A and random probes W; the orthogonal basis of
    the sum is the latent space (benchmark terms only, so its size is bounded by
    the benchmark; terms outside it have no part in a product with an item).
-3. Each passage that holds an item's answer terms and whose latent cosine with
-   the item (from the first to the last of these terms) reaches ``cosine`` is aligned with the item by their longest common
-   subsequence of words; it is a leak if that covers ``share`` of the item and the
-   aligned stretch holds ``answers`` of its answer terms.  An item's answer terms
-   are its rarest quarter in the corpus (two at least).  As they are required in
-   the end, passages without them are passed over first; none is lost by it.
+3. Each passage that holds an item's answer terms is aligned with the item by
+   their longest common subsequence of words; it is a leak if that covers
+   ``share`` of the item and the aligned stretch holds ``answers`` of its answer
+   terms.  An item's answer terms are its rarest quarter in the corpus (two at
+   least).  As they are required in the end, passages without them are passed over
+   first, and so are passages with too few of the item's words for its share; none
+   is lost by it.  The latent cosine of the aligned stretch with the item is
+   reported and drops nothing.
 
 Words are ``\\w+`` in lower case.  Defined cases: null and empty texts hold no
 passage and are clean; items that are null or have no words match nothing;
@@ -58,6 +60,7 @@ class Items:
             for k, t in enumerate(w.tolist()):
                 mask[t] |= 1 << k
             self.masks.append(dict(mask))
+        self.counts = [{t: b.bit_count() for t, b in m.items()} for m in self.masks]
 
     def terms(self, text: str) -> np.ndarray:
         get = self.vocabulary.get
@@ -113,7 +116,7 @@ def _summed(parts: DataFrame, fan: int = 32) -> np.ndarray | None:
     return np.sum(rows, axis=0) if rows else None
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, share: float = 0.6, cosine: float = 0.3, answers: float = 0.5, rank: int = 32, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, share: float = 0.6, answers: float = 0.5, rank: int = 32, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:
     """(id, contaminated, item_id, lcs_share, latent_cosine, n_items) for every row:
     the best item, its share and cosine (null if clean), and the items leaked."""
     spark = docs.sparkSession
@@ -199,25 +202,27 @@ def leaks(docs: DataFrame, benchmark: DataFrame, share: float = 0.6, cosine: flo
                 starts = np.arange(0, max(1, len(terms) - items.window + items.stride), items.stride)
                 a, b = np.searchsorted(hits, starts), np.searchsorted(hits, starts + items.window)
                 for s, x, y in zip(starts[b - a >= least].tolist(), a[b - a >= least].tolist(), b[b - a >= least].tolist()):
-                    places: dict[int, dict[int, list[int]]] = defaultdict(dict)
+                    places: dict[int, set[int]] = defaultdict(set)
                     for h in hits[x:y].tolist():
                         for i in owners[int(terms[h])]:
-                            places[i].setdefault(int(terms[h]), []).append(h - s)
+                            places[i].add(int(terms[h]))
                     part = terms[s : s + items.window]
+                    word = part.tolist()
+                    present = frozenset(word)
                     for i, held in places.items():
                         if len(held) < needed[i]:
                             continue
-                        # the passage as far as the item's answer terms reach, against the item
-                        z = basis[(core := part[min(map(min, held.values())) : max(map(max, held.values())) + 1])[core >= 0]].sum(0)
-                        c = float(latent[i] @ z) / max(float(np.linalg.norm(z)), 1e-12)
-                        if c < cosine:
+                        # no common subsequence is longer than the item's words that stand here
+                        if sum(items.counts[i][t] for t in items.counts[i].keys() & present) < share * len(items.words[i]):
                             continue
-                        word = part.tolist()
                         n, stop = lcs_span(items.masks[i], len(items.words[i]), word)
                         if n < share * len(items.words[i]):
                             continue
                         head = lcs_span(_mirrored(items.masks[i], len(items.words[i])), len(items.words[i]), word[:stop][::-1])[1]
                         if len(rare[i].intersection(word[stop - head : stop])) >= needed[i]:
+                            core = part[stop - head : stop]
+                            z = basis[core[core >= 0]].sum(0)
+                            c = float(latent[i] @ z) / max(float(np.linalg.norm(z)), 1e-12)
                             found[d][i] = max(found[d].get(i, (0.0, 0.0)), (n / len(items.words[i]), c))
             best = [min(f.items(), key=lambda kv: (-kv[1][0], items.ids[kv[0]]), default=None) for f in found]
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([x is not None for x in best]), pa.array([None if x is None else items.ids[x[0]] for x in best], pa.int64()), pa.array([None if x is None else x[1][0] for x in best], pa.float64()), pa.array([None if x is None else x[1][1] for x in best], pa.float64()), pa.array([len(f) for f in found], pa.int64())], ["id", "contaminated", "item_id", "lcs_share", "latent_cosine", "n_items"])
