@@ -5,23 +5,54 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Links that one task unites at most.
+ONE_TASK_LINKS = 20_000
+#: Tables of each session that ``release`` has not deleted yet.
+_kept: dict[str, list[str]] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; one under the system's
-    temporary folder only where the session names none (tests)."""
+    """The folder named by ``spark.checkpoint.dir``; where it is unset, one under the
+    system's temporary folder in local mode (tests), and an error on a cluster."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         where = "file://" + os.path.join(tempfile.gettempdir(), "tilequarry-shared")
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A new path in the shared folder; ``release`` deletes what is written there."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _kept.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Remove one table of the shared folder, whose readers are all done."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    kept = _kept.get(spark.sparkContext.applicationId, [])
+    if path in kept:
+        kept.remove(path)
+
+
+def release(spark: SparkSession) -> int:
+    """Delete every intermediate table this session has written so far and return how
+    many there were.  Results that are not stored yet can't be read afterwards."""
+    paths = list(_kept.get(spark.sparkContext.applicationId, []))
+    for path in paths:
+        delete(spark, path)
+    return len(paths)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -37,20 +68,82 @@ def shuffle_width(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def components(links: DataFrame, name: str = "components", max_rounds: int = 64) -> DataFrame:
+def _stored(df: DataFrame, name: str) -> tuple[str, DataFrame]:
+    spark = df.sparkSession
+    path = shared_path(spark, name)
+    df.write.option("compression", "zstd").parquet(path)
+    return path, spark.read.schema(df.schema).parquet(path)
+
+
+def _settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Components of one task's links (a, b) by union of trees."""
+    up: dict = {}
+
+    def root(x):
+        while up.setdefault(x, x) != x:
+            up[x] = x = up[up[x]]
+        return x
+
+    schema = None
+    for batch in batches:
+        schema = batch.schema
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            a, b = root(a), root(b)
+            up[max(a, b)] = min(a, b)
+    if schema is not None:
+        nodes = list(up)
+        yield pa.record_batch([pa.array(nodes, schema.types[0]), pa.array(list(map(root, nodes)), schema.types[0])], ["node", "up"])
+
+
+def components(links: DataFrame, name: str = "components", one_task: int = ONE_TASK_LINKS) -> DataFrame:
     """(node, component): the smallest node reachable over undirected ``links``
-    (a, b: any one orderable type), for every node in them.  Min-label propagation
-    with pointer jumping; each round is aggregated before its shuffle and written
-    to the shared folder, and only whether labels changed reaches the driver."""
-    both = written(links.select(F.col("a").alias("x"), F.col("b").alias("y")).union(links.select("b", "a")).where("x <> y").distinct(), f"{name}-edges")
-    labels = written(both.groupBy("x").agg(F.min("y").alias("m")).select(F.col("x").alias("node"), F.least("x", "m").alias("component")), f"{name}-0")
-    for k in range(1, max_rounds):
-        seen = both.join(labels.select(F.col("node").alias("y"), "component"), "y").groupBy("x").agg(F.min("component").alias("m"))
-        least = labels.join(seen.withColumnRenamed("x", "node"), "node", "left").select("node", F.col("component").alias("old"), F.least("component", "m").alias("component"))
-        jump = labels.select(F.col("node").alias("component"), F.col("component").alias("up"))
-        step = written(least.join(jump, "component", "left").select("node", "old", F.least(F.coalesce("up", "component"), "component").alias("component")), f"{name}-{k}")
-        changed = not step.where("old <> component").limit(1).isEmpty()
-        labels = step.select("node", "component")
-        if not changed:
-            return labels
-    raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+    (a, b: any one orderable type), for every node in them.
+
+    The graph is contracted until few links are left.  In a round each node takes the
+    name of one node next to it, or keeps its own: in the first round the smallest
+    (which settles stars about their smallest node), then the one of the smallest
+    random rank, new in each round, so that an expected share of the names goes
+    whatever the shape.  Links carry on between names; those within one name and
+    repeated ones are dropped, so the rounds together handle a small multiple of the
+    links.  Their number is logarithmic in expectation and not limited.  Once at most
+    ``one_task`` links are left (none with 0), one task unites them; names are then
+    resolved from the last round back to the first.
+
+    Hubs are aggregated before their shuffle; in the joins their rows share a key that
+    adaptive execution splits.  Links with a null end join nothing and are dropped;
+    self-links only name their node; tables of earlier rounds are deleted."""
+    spark = links.sparkSession
+    links = links.select("a", "b").where("a IS NOT NULL AND b IS NOT NULL")
+    path, edges = _stored(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), f"{name}-links")
+    rounds: list[tuple[str, DataFrame]] = []
+    while edges.limit(one_task + 1).count() > one_task:
+        k = len(rounds)
+        both = edges.select(F.col("a").alias("node"), F.col("b").alias("y")).union(edges.select("b", "a"))
+        if k == 0:
+            took = both.groupBy("node").agg(F.min("y").alias("y")).select("node", F.least("node", "y").alias("up"))
+        else:
+            rank = lambda c: F.xxhash64(F.lit(k), c)
+            took = both.groupBy("node").agg(F.min_by("y", rank("y")).alias("y")).select("node", F.when(rank("y") < rank("node"), F.col("y")).otherwise(F.col("node")).alias("up"))
+        rounds.append(_stored(took, f"{name}-{k}"))
+        names = rounds[-1][1]
+        ends = edges.join(names.select(F.col("node").alias("a"), F.col("up").alias("p")), "a").join(names.select(F.col("node").alias("b"), F.col("up").alias("q")), "b")
+        after, left = _stored(ends.where("p <> q").select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct(), f"{name}-links")
+        delete(spark, path)
+        path, edges = after, left
+    kind = edges.schema["a"].dataType.simpleString()
+    after, top = _stored(edges.coalesce(1).mapInArrow(_settled, f"node {kind}, up {kind}"), f"{name}-names")
+    delete(spark, path)
+    path = after
+    if not rounds:
+        return top.select("node", F.col("up").alias("component"))
+    while rounds:
+        lower, names = rounds.pop()
+        resolved = names.join(top.select(F.col("node").alias("up"), F.col("up").alias("over")), "up", "left")
+        after, above = _stored(resolved.select("node", F.coalesce("over", "up").alias("up")), f"{name}-names")
+        delete(spark, path)
+        delete(spark, lower)
+        path, top = after, above
+    least = top.groupBy("up").agg(F.min("node").alias("component"))
+    out = written(top.join(least, "up").select("node", "component"), name)
+    delete(spark, path)
+    return out
