@@ -1,46 +1,20 @@
-"""Helpers the operators of this subpackage share: shared-folder tables, Arrow
-text access, grouped streams and connected components."""
+"""Helpers the operators of this subpackage share: Arrow text access, grouped streams,
+and the library's shared-folder tables and components under one name."""
 
 from __future__ import annotations
 
 import ctypes
-import os
-import tempfile
-import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tilequarry.tables import components, delete, shared_path, shuffle_width, written
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; one under the system's
-    temporary folder only where the session names none (tests)."""
-    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not where:
-        where = "file://" + os.path.join(tempfile.gettempdir(), "tilequarry-shared")
-        spark.conf.set("spark.checkpoint.dir", where)
-    return where.rstrip("/")
-
-
-def shared_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: write ``df`` as a Parquet table in the shared folder and
-    return the reread table (survives the loss of any executor)."""
-    spark = df.sparkSession
-    path = shared_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def shuffle_width(spark: SparkSession) -> int:
-    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+__all__ = ["components", "delete", "shared_path", "shuffle_width", "written"]
 
 
 def width_for(df: DataFrame, bytes_total: int, per_task: int) -> int:
@@ -128,23 +102,3 @@ def mix64(x: np.ndarray) -> np.ndarray:
         x = x ^ (x >> np.uint64(27))
         x = x * np.uint64(0x94D049BB133111EB)
         return x ^ (x >> np.uint64(31))
-
-
-def components(links: DataFrame, name: str = "components", max_rounds: int = 64) -> DataFrame:
-    """(node, component): the smallest id reachable over undirected ``links``
-    (a long, b long), for every id in them.  Min-label propagation with pointer
-    jumping; each round is aggregated before its shuffle and written to the
-    shared folder, and only a count of changed rows reaches the driver."""
-    spark = links.sparkSession
-    both = written(links.select(F.col("a").alias("x"), F.col("b").alias("y")).union(links.select("b", "a")).where("x <> y").distinct(), f"{name}-edges")
-    labels = written(both.groupBy("x").agg(F.min("y").alias("m")).select(F.col("x").alias("node"), F.least("x", "m").alias("component")), f"{name}-0")
-    for k in range(1, max_rounds):
-        seen = both.join(labels.select(F.col("node").alias("y"), "component"), "y").groupBy("x").agg(F.min("component").alias("m"))
-        least = labels.join(seen.withColumnRenamed("x", "node"), "node", "left").select("node", F.col("component").alias("old"), F.least("component", "m").alias("component"))
-        jump = labels.select(F.col("node").alias("component"), F.col("component").alias("up"))
-        step = written(least.join(jump, "component", "left").select("node", "old", F.least(F.coalesce("up", "component"), "component").alias("component")), f"{name}-{k}")
-        changed = not step.where("old <> component").limit(1).isEmpty()
-        labels = step.select("node", "component")
-        if not changed:
-            return labels
-    raise RuntimeError(f"components did not settle in {max_rounds} rounds")
