@@ -54,6 +54,13 @@ def test_components_of_nothing_and_of_nulls(spark):
     assert {tuple(r) for r in tables.components(named, one_task=0).collect()} == {("a", "a"), ("b", "a"), ("c", "a")}
 
 
+@pytest.mark.parametrize("one_task", [0, 100])
+def test_components_of_pairs(spark, one_task):
+    links = spark.createDataFrame([((1, 5), (1, 4)), ((1, 4), (1, 3)), ((2, 4), (2, 9))], "a struct<i: long, r: long>, b struct<i: long, r: long>")
+    found = {(tuple(r.node), tuple(r.component)) for r in tables.components(links, one_task=one_task).collect()}
+    assert found == {((1, 3), (1, 3)), ((1, 4), (1, 3)), ((1, 5), (1, 3)), ((2, 4), (2, 4)), ((2, 9), (2, 4))}
+
+
 def test_release_deletes_tables(spark):
     kept = tables.written(spark.range(3), "some")
     assert kept.count() == 3 and tables.release(spark) >= 1

@@ -1,131 +1,182 @@
 """Byte-level BPE encoding and decoding over a global distinct-word shuffle.
 
-Documents are dealt to chunks of a bounded number of text bytes.  Each chunk
-sends every distinct pre-token it holds once to the word's bucket; a bucket
-encodes each of its distinct words once and answers every chunk that asked.  The
-ids are then joined back and each document is reassembled by the positions of
-its pre-tokens.  A frequent word costs one row entry a chunk, never one per use,
-so no key is hot.
+1. Texts in the order of their partition are packed into chunks of a bounded number
+   of bytes, and dealt by chunk.
+2. Each chunk splits its texts into pre-tokens with their positions and sends every
+   distinct word it holds once, in one block of words a bucket.  Words are dealt to
+   buckets by their bytes, so all chunks ask one bucket for one word, and a bucket
+   encodes each of its distinct words once.  Blocks come back as blocks of ids.
+3. The chunk joins the ids to its distinct words, and each text is reassembled by
+   the positions of its pre-tokens: a gather over whole Arrow arrays.
+4. Decoding joins each id with the token-byte table, which every worker holds
+   (bounded by the vocabulary file) and which is indexed by id: again one gather.
+
+A frequent word costs one entry a chunk, never one a use, so no key is hot; equal
+rows are dealt like any others.  Blocks number chunks times buckets; buckets are
+``BUCKETS`` up to 16 times as many chunks and never beyond ``MAX_BUCKETS``, so blocks
+grow with the chunks and hold some tens of words or more.
+
+Texts of every script are split and shuffled alike (``pretokens``).  A chunk is the
+same in question and answer as long as the partitions of ``docs`` hold the same rows
+when they are computed again, as tables do; otherwise the job fails, never silently.
 
 Defined cases: null text counts as empty (no ids, empty bytes); repeated ids or
 rows stay separate rows; null ids stay null; an empty table gives an empty
-result; other columns of the input are ignored.
+result; other columns of the input are ignored.  A longer text than ``chunk_bytes``
+is a chunk of its own.
 """
 
 from __future__ import annotations
 
-import zlib
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_documents, by_bytes, shuffle_width
-from .tokens import rank_codec, vocabulary
-
-#: Text bytes of a chunk, on average.
-CHUNK_BYTES = 4 << 20
-#: Buckets of words at most; a chunk's words come as one row a bucket.
-MAX_BUCKETS = 1 << 14
-
-
-def _packed(batch: pa.RecordBatch) -> bytes:
-    sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
-        out.write_batch(batch)
-    return sink.getvalue().to_pybytes()
-
-
-def _unpacked(data: bytes) -> pa.RecordBatch:
-    return next(iter(pa.ipc.open_stream(pa.py_buffer(data))))
-
-
-def _pack_documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (chunk, pack): the documents of one Arrow batch that share a chunk."""
-    for batch in batches:
-        chunks = batch.column("chunk").to_numpy()
-        order = np.argsort(chunks, kind="stable")
-        cuts = np.flatnonzero(np.diff(chunks[order])) + 1
-        for rows in np.split(order, cuts) if len(order) else []:
-            part = batch.select(["id", "text"]).take(pa.array(rows))
-            yield pa.RecordBatch.from_arrays([pa.array([chunks[rows[0]]], pa.int64()), pa.array([_packed(part)], pa.large_binary()).cast(pa.binary())], ["chunk", "pack"])
+from .common import as_documents, by_bytes, mix64, shuffle_width, text_buffer
+from .pretokens import parts
+from .shingles import powers
+from .tokens import rank_codec, ranks
+
+#: Text bytes of a chunk.
+CHUNK_BYTES = 16 << 20
+BUCKETS, MAX_BUCKETS = 256, 4096
+_LETTER = np.random.default_rng(20250511).integers(1, 1 << 63, 256, dtype=np.uint64)
+_ZSTD = pa.Codec("zstd")
+
+
+def _squeezed(*columns: np.ndarray) -> bytes:
+    """Arrays of one block: their sizes, then all their bytes, compressed.  Integers
+    lie byte plane by byte plane, as their high bytes are mostly equal."""
+    raw = [np.ascontiguousarray(c).view(np.uint8).reshape(-1, c.dtype.itemsize).T.tobytes() for c in columns]
+    sizes = np.array([len(x) for x in raw], "<u4").tobytes()
+    return sizes + _ZSTD.compress(b"".join(raw)).to_pybytes()
+
+
+def _unsqueezed(data: bytes, *kinds: str) -> list[np.ndarray]:
+    sizes = np.frombuffer(data, "<u4", len(kinds))
+    raw = _ZSTD.decompress(memoryview(data)[4 * len(kinds) :], decompressed_size=int(sizes.sum())).to_pybytes()
+    at, out = 0, []
+    for n, kind in zip(sizes.tolist(), kinds):
+        planes = np.frombuffer(raw, np.uint8, n, at).reshape(np.dtype(kind).itemsize, -1)
+        out.append(np.ascontiguousarray(planes.T).reshape(-1).view(kind))
+        at += n
+    return out
+
+
+def _joined(sizes: np.ndarray, data: np.ndarray) -> pa.Array:
+    """Values of ``sizes`` bytes that lie one after another in ``data``."""
+    bounds = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
+    return pa.Array.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(data))])
+
+
+def _bucket_of(words: pa.Array, n_buckets: int) -> np.ndarray:
+    data, offsets = text_buffer(words)
+    up, down = powers(len(data) + 1)
+    with np.errstate(over="ignore"):
+        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_LETTER[data] * up[:-1])])
+        hashes = mix64((total[offsets[1:]] - total[offsets[:-1]]) * down[offsets[:-1]])
+    return (hashes % np.uint64(n_buckets)).astype(np.int64)
+
+
+class _Chunk:
+    """The pre-tokens of a chunk's texts, and its distinct words in the order of bucket
+    and word, which is the same whatever order the texts come in."""
+
+    def __init__(self, packs: pa.ChunkedArray, splitter, n_buckets: int):
+        self.keys, self.firsts, found = [], [], []
+        for data in packs:
+            batch = next(iter(pa.ipc.open_stream(data.as_buffer())))
+            tokens, first = splitter.tokens(batch.column("text"))
+            self.keys.append(batch.column("id"))
+            self.firsts.append(first)
+            found.append(tokens)
+        told = pa.chunked_array(found, pa.large_binary()).dictionary_encode().unify_dictionaries()
+        words = told.chunk(0).dictionary if told.num_chunks else pa.array([], pa.large_binary())
+        index = np.concatenate([np.zeros(0, np.int32), *(c.indices.to_numpy() for c in told.chunks)])
+        bucket = _bucket_of(words, n_buckets)
+        order = pc.sort_indices(pa.table({"b": bucket, "w": words}), sort_keys=[("b", "ascending"), ("w", "ascending")])
+        self.words, self.bucket = words.take(order), bucket[order.to_numpy()]
+        place = np.empty(len(words), np.int32)
+        place[order.to_numpy()] = np.arange(len(words), dtype=np.int32)
+        self.index = pa.array(place[index])
+        self.cuts = np.concatenate([[0], np.flatnonzero(np.diff(self.bucket)) + 1, [len(words)]]) if len(words) else np.zeros(1, np.int64)
+
+
+def _pack(batches: Iterator[pa.RecordBatch], chunk_bytes: int) -> Iterator[pa.RecordBatch]:
+    """Rows (chunk, pack): some texts of a partition; chunks follow one another."""
+    task, total = TaskContext.get().partitionId() << 32, 0
+    options = pa.ipc.IpcWriteOptions(compression="zstd")
+    for batch in by_bytes(batches, "text", min(1 << 20, chunk_bytes)):
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, batch.schema, options=options) as out:
+            out.write_batch(batch)
+        yield pa.record_batch({"chunk": pa.array([task + total // chunk_bytes], pa.int64()), "pack": pa.array([sink.getvalue().to_pybytes()], pa.binary())})
+        total += batch.column("text").nbytes
 
 
 def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """(id, ids binary: little-endian unsigned 32-bit ids of the whole text)."""
     spark = docs.sparkSession
-    shipped = vocabulary(spark, ranks_path)
+    shipped = ranks(spark, ranks_path)
     total = docs.select(F.sum(F.octet_length(F.col(text_col))).alias("n")).first()["n"] or 0
     n_chunks = max(1, -(-total // chunk_bytes))
     width = max(shuffle_width(spark), n_chunks)
-    n_buckets = min(width, MAX_BUCKETS)
-    source = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    packs = source.withColumn("chunk", F.pmod(F.xxhash64("id", "text"), F.lit(n_chunks)).cast("long")).mapInArrow(_pack_documents, "chunk long, pack binary").repartition(width, "chunk")
-
-    def buckets_of(distinct) -> dict[int, list[str]]:
-        """A chunk's distinct words by bucket, in one order for question and answer."""
-        asked: dict[int, list[str]] = {}
-        for word in distinct:
-            asked.setdefault(zlib.crc32(word.encode()) % n_buckets, []).append(word)
-        for of_bucket in asked.values():
-            of_bucket.sort()
-        return asked
-
-    def ask(chunk: pa.Table) -> pa.Table:
-        codec, distinct = rank_codec(shipped, pattern), set()
-        for pack in chunk.column("pack"):
-            for text in _unpacked(pack.as_py()).column("text").to_pylist():
-                distinct.update(codec.words(text) or ())
-        asked = buckets_of(distinct)
-        packed = [_packed(pa.record_batch({"word": pa.array(x, pa.string())})) for x in asked.values()]
-        return pa.table({"chunk": pa.array([chunk.column("chunk")[0].as_py()] * len(asked), pa.int64()), "bucket": pa.array(list(asked), pa.int32()), "words": pa.array(packed, pa.binary())})
+    n_buckets = min(MAX_BUCKETS, max(BUCKETS, n_chunks // 16))
+    source = as_documents(docs, id_col, text_col).withColumnsRenamed({id_col: "id", text_col: "text"}).select("id", "text")
+    packs = source.mapInArrow(lambda b: _pack(b, chunk_bytes), "chunk long, pack binary").repartition(width, "chunk")
+
+    def ask(group: pa.Table) -> pa.Table:
+        own = _Chunk(group.column("pack"), rank_codec(shipped, pattern).splitter, n_buckets)
+        data, offsets = text_buffer(own.words)
+        size = np.diff(offsets).astype("<u4")
+        cuts = list(zip(own.cuts[:-1].tolist(), own.cuts[1:].tolist()))
+        blocks = [_squeezed(size[a:b], data[offsets[a] : offsets[b]]) for a, b in cuts]
+        return pa.table({"chunk": pa.array([group.column("chunk")[0].as_py()] * len(cuts), pa.int64()), "bucket": pa.array(own.bucket[own.cuts[:-1]].astype(np.int32)), "words": pa.array(blocks, pa.binary())})
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec, known = rank_codec(shipped, pattern), {}
-        for batch in batches:
-            for chunk, bucket, data in zip(batch.column("chunk"), batch.column("bucket"), batch.column("words")):
-                words = _unpacked(data.as_py()).column("word").to_pylist()
-                for word in words:
-                    if word not in known:
-                        known[word] = np.array(codec.word_ids(word), "<u4").tobytes()
-                reply = pa.record_batch({"ids": pa.array([known[w] for w in words], pa.binary())})
-                yield pa.record_batch({"chunk": pa.array([chunk.as_py()], pa.int64()), "bucket": pa.array([bucket.as_py()], pa.int32()), "reply": pa.array([_packed(reply)], pa.binary())})
-
-    def assemble(packed: pa.Table, replies: pa.Table) -> pa.Table:
-        codec, index = rank_codec(shipped, pattern), {}
-        keys, texts = [], []  # a text as its pre-tokens' places in ``index``, or its ids
-        for data in packed.column("pack"):
-            batch = _unpacked(data.as_py())
-            keys.append(batch.column("id"))
-            for text in batch.column("text").to_pylist():
-                words = codec.words(text)
-                texts.append(np.array(codec.text_ids(text), "<u4").tobytes() if words is None else array("I", [index.setdefault(w, len(index)) for w in words]))
-        ids = [b""] * len(index)
-        asked = buckets_of(index)
-        for bucket, data in zip(replies.column("bucket").to_pylist(), replies.column("reply")):
-            for word, x in zip(asked[bucket], _unpacked(data.as_py()).column("ids").to_pylist()):
-                ids[index[word]] = x
-        del index, asked
-        out = [x if isinstance(x, bytes) else b"".join(map(ids.__getitem__, x)) for x in texts]
-        return pa.table({"id": pa.chunked_array(keys, pa.int64()), "ids": pa.array(out, pa.large_binary()).cast(pa.binary())})
-
-    replies = packs.groupBy("chunk").applyInArrow(ask, "chunk long, bucket int, words binary").repartition(width, "bucket").mapInArrow(answer, "chunk long, bucket int, reply binary")
+        codec = rank_codec(shipped, pattern)
+        for batch in by_bytes(batches, "words"):
+            replies = []
+            for block in batch.column("words"):
+                ids = codec.of(_joined(*_unsqueezed(block.as_buffer(), "<u4", "u1")))
+                data, offsets = text_buffer(ids)
+                replies.append(_squeezed((np.diff(offsets) // 4).astype("<u4"), data.view("<u4")))
+            yield pa.record_batch({"chunk": batch.column("chunk"), "bucket": batch.column("bucket"), "reply": pa.array(replies, pa.binary())})
+
+    def assemble(group: pa.Table, replies: pa.Table) -> pa.Table:
+        own = _Chunk(group.column("pack"), rank_codec(shipped, pattern).splitter, n_buckets)
+        order = np.argsort(replies.column("bucket").to_numpy())
+        blocks = replies.column("reply")
+        got = [_unsqueezed(blocks[int(i)].as_buffer(), "<u4", "<u4") for i in order]
+        if [len(n) for n, _ in got] != np.diff(own.cuts).tolist():
+            raise RuntimeError("a chunk of texts changed between its question and its answer: give a stored table")
+        size = np.concatenate([np.zeros(0, "<u4"), *(n for n, _ in got)])
+        word_ids = _joined(4 * size.astype(np.int64), np.concatenate([np.zeros(0, "<u4"), *(x for _, x in got)]).view(np.uint8))
+        at, out = 0, []
+        for first in own.firsts:
+            out.append(parts(word_ids.take(own.index.slice(at, int(first[-1]))), first).cast(pa.binary()))
+            at += int(first[-1])
+        return pa.table({"id": pa.chunked_array(own.keys, pa.int64()), "ids": pa.chunked_array(out, pa.binary())})
+
+    replies = packs.groupBy("chunk").applyInArrow(ask, "chunk long, bucket int, words binary").repartition(max(shuffle_width(spark), min(width, n_buckets)), "bucket").mapInArrow(answer, "chunk long, bucket int, reply binary")
     return packs.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(assemble, "id long, ids binary").select(F.col("id").alias(id_col), "ids")
 
 
 def decode(encoded: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id") -> DataFrame:
-    """(id, ids, decoded binary): each id replaced by its bytes in the token table,
-    which every worker holds (bounded by the vocabulary file)."""
-    shipped = vocabulary(encoded.sparkSession, ranks_path)
+    """(id, ids, decoded binary): each id joined with its bytes in the token table."""
+    shipped = ranks(encoded.sparkSession, ranks_path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = rank_codec(shipped, pattern).table
         for batch in by_bytes(batches, "ids"):
-            texts = [b"".join(map(table.__getitem__, np.frombuffer(x.as_buffer(), "<u4").tolist())) if x.is_valid else b"" for x in batch.column("ids")]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.binary())], ["id", "ids", "decoded"])
+            data, offsets = text_buffer(batch.column("ids"))
+            tokens = table.take(pa.array(np.ascontiguousarray(data).view("<u4")))
+            yield pa.RecordBatch.from_arrays([*batch.columns, parts(tokens, offsets // 4).cast(pa.binary())], ["id", "ids", "decoded"])
 
     rows = encoded.select(F.col(id_col).cast("long").alias("id"), F.col("ids").cast("binary").alias("ids"))
     return rows.mapInArrow(run, "id long, ids binary, decoded binary").withColumnRenamed("id", id_col)

@@ -18,56 +18,71 @@ files and no rows; other columns are ignored.
 from __future__ import annotations
 
 import json
-import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import regex
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import simple8b
 from .common import as_documents, by_bytes, shared_path, shuffle_width
-from .tokens import STABLE, vocabulary
+from .pretokens import BYTE_LEVEL, Splitter, classes_of_tokenizers, parts
+from .tokens import WordIds, vocabulary
 
 BLOCK_IDS = 1 << 18
-CACHE_WORDS = 400_000
+#: Text bytes split at once.
+BATCH_BYTES = 4 << 20
 _HEAD = np.dtype([("magic", "S4"), ("docs", "<u4"), ("ids", "<u8"), ("words", "<u8"), ("start", "<u8")])
 
 
-class LibraryIds(dict):
-    """Ids of whole texts as the library gives them.  For byte-level models that
-    split by ``pattern``, the library encodes each distinct pre-token once."""
+class LibraryIds(WordIds):
+    """Ids of whole texts as the library gives them.  For byte-level models that split
+    by ``pattern``, the library's model is run once for each distinct pre-token of a
+    batch that is not remembered; texts that hold a control string, and other models,
+    go to the library whole."""
 
-    def __init__(self, data: bytes, pattern: str | None):
+    def __init__(self, data: bytes, classes: bytes, pattern: str | None):
         from tokenizers import Tokenizer
 
         super().__init__()
         self.tokenizer = Tokenizer.from_str(data.decode())
+        self.model = self.tokenizer.model
         spec = json.loads(data)
         pre = spec.get("pre_tokenizer") or {}
-        plain = not spec.get("normalizer") and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True)
-        self.findall = regex.compile(pattern).findall if pattern and plain else None
+        plain = pattern == BYTE_LEVEL and not spec.get("normalizer") and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True)
+        self.splitter = Splitter(pattern, classes) if plain else None
         self.added = [t["content"] for t in spec.get("added_tokens") or []]
+        # the letters of a byte-level alphabet: printable bytes stand for themselves
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        rest = [b for b in range(256) if b not in shown]
+        self.letters = {b: b for b in shown} | {b: 256 + k for k, b in enumerate(rest)}
 
-    def __missing__(self, word: str) -> bytes:
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        self[word] = ids = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
-        return ids
+    def word_ids(self, word: bytes) -> list[int]:
+        return [t.id for t in self.model.tokenize(word.decode("latin-1").translate(self.letters))]
 
-    def ids(self, text: str) -> bytes:
-        if self.findall and (text.isascii() or STABLE.fullmatch(text)) and not any(t in text for t in self.added):
-            return b"".join(map(self.__getitem__, self.findall(text)))
+    def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def ids(self, texts: pa.Array) -> list:
+        """A bytes-like value of little-endian unsigned 32-bit ids for each text."""
+        if self.splitter is None:
+            return [self.whole(t) for t in texts.to_pylist()]
+        tokens, first = self.splitter.tokens(texts)
+        told = tokens.dictionary_encode()
+        out = [x.as_buffer() for x in parts(self.of(told.dictionary).take(told.indices), first)]
+        for added in self.added:
+            for k in np.flatnonzero(pc.match_substring(texts, added).to_numpy(zero_copy_only=False)).tolist():
+                out[k] = self.whole(texts[k].as_py())
+        return out
+
 
 @lru_cache(maxsize=2)
-def _library(data: bytes, pattern: str | None) -> LibraryIds:
-    return LibraryIds(data, pattern)
+def _library(data: bytes, classes: bytes, pattern: str | None) -> LibraryIds:
+    return LibraryIds(data, classes, pattern)
 
 
 def pack_block(doc_ids: list[int | None], ids: list[np.ndarray], start: int) -> bytes:
@@ -93,11 +108,11 @@ def unpack_block(data: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray,
 
 def write(docs: DataFrame, path: str, tokenizer_path: str, pattern: str | None, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", block_ids: int = BLOCK_IDS) -> None:
     """Write the ids of all texts under ``path`` in ascending order of document id."""
-    shipped = vocabulary(docs.sparkSession, tokenizer_path)
-    end = np.array([end_id], "<u4").tobytes()
+    shipped = vocabulary(docs.sparkSession, tokenizer_path, classes_of_tokenizers)
+    end = np.array([end_id], "<u4")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        library, shard = _library(shipped.value, pattern), TaskContext.get().partitionId()
+        library, shard = _library(*shipped.value, pattern), TaskContext.get().partitionId()
         keys, held, total, start, block = [], [], 0, 0, 0
 
         def flush() -> pa.RecordBatch:
@@ -106,9 +121,9 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, pattern: str | None,
             keys, held, start, total, block = [], [], start + total, 0, block + 1
             return row
 
-        for batch in by_bytes(batches, text_col):
-            for key, text in zip(batch.column(id_col).to_pylist(), batch.column(text_col).to_pylist()):
-                ids = np.frombuffer(library.ids(text) + end, "<u4")
+        for batch in by_bytes(batches, text_col, BATCH_BYTES):
+            for key, found in zip(batch.column(id_col).to_pylist(), library.ids(batch.column(text_col))):
+                ids = np.concatenate([np.frombuffer(found, "<u4"), end])
                 keys.append(key)
                 held.append(ids)
                 total += len(ids)

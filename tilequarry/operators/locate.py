@@ -35,7 +35,6 @@ def label_runs(group: np.ndarray, y: np.ndarray, x: np.ndarray, cls: np.ndarray)
     new_row[1:] = (group[1:] != group[:-1]) | (y[1:] != y[:-1])
     row_start = np.flatnonzero(new_row)
     row_of = np.cumsum(new_row) - 1
-    row_stop = np.append(row_start[1:], n)
     follows = np.zeros(len(row_start), bool)
     follows[:-1] = (group[row_start[1:]] == group[row_start[:-1]]) & (y[row_start[1:]] == y[row_start[:-1]] + 1)
     width = int(x.max()) - int(x.min()) + 2 if n else 1
@@ -43,7 +42,6 @@ def label_runs(group: np.ndarray, y: np.ndarray, x: np.ndarray, cls: np.ndarray)
     below = np.searchsorted(key, key + width)
     ok = follows[row_of] & (below < n)
     ok[ok] &= (key[below[ok]] == key[ok] + width) & (cls[below[ok]] == cls[ok])
-    del row_stop
     a, b = run[ok], run[below[ok]]
     root = np.arange(len(first))
     while len(a):  # smallest label over edges, then pointers to pointers
@@ -70,6 +68,10 @@ def runs(cells: DataFrame, background: int = -1) -> DataFrame:
 
         def flush(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
             cols = {c: np.concatenate([p.column(c).to_numpy() for p in parts]) for c in ("image_id", "tile_id", "y", "x", "cls")}
+            fresh = np.ones(len(cols["x"]), bool)  # a cell that is there twice has its smallest class
+            fresh[1:] = (np.diff(cols["x"]) != 0) | (np.diff(cols["y"]) != 0) | (np.diff(cols["tile_id"]) != 0) | (np.diff(cols["image_id"]) != 0)
+            if not fresh.all():
+                cols = {c: v[fresh] for c, v in cols.items()}
             image, tile = cols["image_id"], cols["tile_id"]
             change = np.ones(len(image), bool)
             change[1:] = (image[1:] != image[:-1]) | (tile[1:] != tile[:-1])
@@ -101,8 +103,8 @@ def runs(cells: DataFrame, background: int = -1) -> DataFrame:
             yield flush(held)
 
     cells = cells.where((F.col("cls") != background) & F.col("cls").isNotNull()).select("image_id", "tile_id", F.col("y").cast("long"), F.col("x").cast("long"), F.col("cls").cast("int"))
-    cells = cells.dropDuplicates(["image_id", "tile_id", "y", "x"]).repartition(shuffle_width(cells.sparkSession), "image_id", "tile_id")
-    return cells.sortWithinPartitions("image_id", "tile_id", "y", "x").mapInArrow(run, RUNS)
+    cells = cells.repartition(shuffle_width(cells.sparkSession), "image_id", "tile_id")
+    return cells.sortWithinPartitions("image_id", "tile_id", "y", "x", "cls").mapInArrow(run, RUNS)
 
 
 def measures(runs_df: DataFrame, *keys: str) -> DataFrame:

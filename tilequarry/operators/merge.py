@@ -11,9 +11,10 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.regions import covered, nearest
 from ..tables import components, written
 from .tiling import neighbours
 
@@ -48,13 +49,7 @@ def candidates(regions: DataFrame, tiles: DataFrame, tolerance: float, labelled:
 
 def links(pairs: DataFrame, runs: DataFrame, tolerance: float) -> DataFrame:
     """(image_id, a, b) of ``pairs`` nearer than ``tolerance``, strictly."""
-    reach = math.ceil(tolerance)
-    a = runs.select("image_id", F.col("rid").alias("a"), F.col("y").alias("ya"), F.col("x0").alias("a0"), F.col("x1").alias("a1"))
-    b = runs.select("image_id", F.col("rid").alias("b"), F.col("y").alias("yb"), F.col("x0").alias("b0"), F.col("x1").alias("b1"))
-    a = pairs.join(a, ["image_id", "a"]).withColumn("yb", F.explode(F.sequence(F.col("ya") - reach, F.col("ya") + reach)))
-    gap_x = F.greatest(F.col("a0") - F.col("b1"), F.col("b0") - F.col("a1"), F.lit(0))
-    gap_y = F.greatest(F.abs(F.col("ya") - F.col("yb")) - 1, F.lit(0))
-    return a.join(b, ["image_id", "b", "yb"]).where(gap_x * gap_x + gap_y * gap_y < tolerance * tolerance).select("image_id", "a", "b").distinct()
+    return nearest(pairs, runs, tolerance, "image_id").select("image_id", "a", "b")
 
 
 def objects_of(regions: DataFrame, linked: DataFrame) -> DataFrame:
@@ -73,30 +68,22 @@ def object_labels(regions: DataFrame, membership: DataFrame) -> DataFrame:
     return by.groupBy("image_id", "object_id").agg(best, F.sum("n").alias("n_regions")).select("image_id", "object_id", (-F.col("best.label")).cast("int").alias("label"), "n_regions")
 
 
-def closed(cells: DataFrame, tolerance: int) -> DataFrame:
-    """Morphological closing of (image_id, object_id, y, x) by a square of side
-    2 * tolerance + 1."""
-    steps = F.explode(F.sequence(F.lit(-tolerance), F.lit(tolerance)))
-    spread = lambda df, axis: df.withColumn("d", steps).withColumn(axis, F.col(axis) + F.col("d")).drop("d")
-    wide = spread(spread(cells, "x").distinct(), "y").distinct()
-    full = 2 * tolerance + 1
-    for axis in ("x", "y"):  # a cell stays if all cells of the square round it are there
-        wide = spread(wide, axis).groupBy("image_id", "object_id", "y", "x").count().where(F.col("count") == full).drop("count")
-    return wide
+def closed(runs: DataFrame, tolerance: float, *keys: str) -> DataFrame:
+    """Morphological closing of the cells of ``runs`` (keys, y, x0, x1), which may
+    overlap, by a square of side 2 * ceil(tolerance) + 1.  Runs are widened and spread
+    to the rows around, joined, narrowed, and kept where all rows around have them; no
+    cell is a row of its own."""
+    reach = math.ceil(tolerance)
+    wide = covered(runs.withColumns({"x0": F.col("x0") - reach, "x1": F.col("x1") + reach}), reach, 1, *keys)
+    narrow = wide.withColumns({"x0": F.col("x0") + reach, "x1": F.col("x1") - reach}).where("x0 < x1")
+    return covered(narrow, reach, 2 * reach + 1, *keys)
 
 
 def cells_of(runs: DataFrame) -> DataFrame:
     return runs.select(*[c for c in runs.columns if c not in ("x0", "x1")], F.explode(F.sequence("x0", F.col("x1") - 1)).alias("x"))
 
 
-def runs_of(cells: DataFrame, *keys: str) -> DataFrame:
-    """Cells to runs (keys, y, x0, x1)."""
-    order = Window.partitionBy(*keys, "y").orderBy("x")
-    cells = cells.withColumn("g", F.col("x") - F.row_number().over(order))
-    return cells.groupBy(*keys, "y", "g").agg(F.min("x").alias("x0"), (F.max("x") + 1).alias("x1")).drop("g")
-
-
-def merge(runs: DataFrame, tiles: DataFrame, tolerance: int = 1, labelled: bool = True) -> DataFrame:
+def merge(runs: DataFrame, tiles: DataFrame, tolerance: float = 1, labelled: bool = True) -> DataFrame:
     """(image_id, object_id, label, y, x0, x1): runs of the merged objects."""
     runs = written(runs, "runs")
     regions = written(boxes(runs), "regions")
@@ -105,7 +92,6 @@ def merge(runs: DataFrame, tiles: DataFrame, tolerance: int = 1, labelled: bool
     labels = object_labels(regions, member)
     placed = runs.drop("label").join(member, ["image_id", "rid"]).join(labels, ["image_id", "object_id"])
     single = placed.where("n_regions = 1").select("image_id", "object_id", "y", "x0", "x1")
-    cells = cells_of(placed.where("n_regions > 1").select("image_id", "object_id", "y", "x0", "x1")).distinct()
-    several = runs_of(closed(cells, tolerance), "image_id", "object_id")
+    several = closed(placed.where("n_regions > 1").select("image_id", "object_id", "y", "x0", "x1"), tolerance, "image_id", "object_id")
     out = single.unionByName(several.select("image_id", "object_id", "y", "x0", "x1"))
     return out.join(labels.select("image_id", "object_id", "label"), ["image_id", "object_id"])

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..errors import TileReadError
+
 
 def semantic(pixels: DataFrame, rule: Column) -> DataFrame:
     """``pixels`` with cls, an integer class by any expression of the pixel."""
@@ -42,7 +46,40 @@ def class_count(classes: Sequence[int] | None) -> int:
     return len(classes) if classes else -1
 
 
+def _tolerant(model: Callable) -> Callable:
+    """``model`` with failed tiles as no rows and a warning in the task's log."""
+
+    def run(frame):
+        try:
+            return model(frame)
+        except TileReadError as error:
+            warnings.warn(f"tile {frame['tile_id'].iloc[0]} of image {frame['image_id'].iloc[0]} is left out: {error}", stacklevel=2)
+            return None
+
+    return run
+
+
 def by_tile(tile_pixels: DataFrame, model: Callable, schema: str) -> DataFrame:
     """A model that needs a tile's neighbourhoods: ``model`` gets each tile's pixels
-    as a pandas frame and returns frames of ``schema``.  One tile is in memory."""
-    return tile_pixels.groupBy("image_id", "tile_id").applyInPandas(model, schema)
+    as a pandas frame and returns frames of ``schema``.  One tile is in memory.  A tile
+    for which it raises TileReadError has no rows; other errors fail the job."""
+    return by_batch(tile_pixels, lambda frames: [model(f) for f in frames], schema, 1)
+
+
+def by_batch(tile_pixels: DataFrame, model: Callable, schema: str, size: int) -> DataFrame:
+    """As ``by_tile`` with ``size`` tiles of following ids a call: ``model`` gets a list
+    of frames and returns one frame for each.  Where a call fails with TileReadError, its
+    tiles are tried one by one, so that only failing ones are left out."""
+    names = [c.split()[0].strip("`") for c in schema.split(",")]
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        frames = [f for _, f in frame.groupby("tile_id", sort=True)]
+        try:
+            found = model(frames)
+        except TileReadError:
+            found = [_tolerant(lambda f: model([f])[0])(f) for f in frames]
+        found = [f for f in found if f is not None and len(f)]
+        return pd.concat(found, ignore_index=True) if found else pd.DataFrame(columns=names)
+
+    calls = tile_pixels.withColumn("call", F.expr(f"(tile_id - 1) div {int(size)}"))
+    return calls.groupBy("image_id", "call").applyInPandas(lambda f: run(f.drop(columns="call")), schema)

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -85,8 +85,12 @@ def neighbours(tiles_df: DataFrame) -> DataFrame:
 
 
 def batches(tiles_df: DataFrame, n: int) -> DataFrame:
-    """Tiles in ``n`` contiguous batches an image, the first ones one larger."""
-    return tiles_df.select("image_id", "tile_id", F.ntile(n).over(Window.partitionBy("image_id").orderBy("tile_id")).alias("batch"))
+    """Tiles of whole grids in ``n`` contiguous batches an image, the first ones one
+    larger: by arithmetic on ids and grid sizes."""
+    k, total = F.col("tile_id") - 1, F.col("n_cols") * F.col("n_rows")
+    size, longer = F.expr(f"(n_cols * n_rows) div {n}"), total % n
+    within = F.when(k < longer * (size + 1), F.floor(k / (size + 1))).otherwise(longer + F.floor((k - longer * (size + 1)) / F.greatest(size, F.lit(1))))
+    return tiles_df.select("image_id", "tile_id", (within + 1).cast("int").alias("batch"))
 
 
 def window(images: DataFrame, off_x: Column, off_y: Column, max_w: Column, max_h: Column) -> DataFrame:
@@ -114,7 +118,10 @@ def tile_pixels(images: DataFrame, pixels: DataFrame, grid: Grid) -> DataFrame:
         return F.array_distinct(F.concat(span, F.array(count - 1))) if grid.borders == "extend" else span
 
     df = pixels.join(dims, "image_id").where("n_cols > 0 AND n_rows > 0")
-    df = df.withColumn("col", F.explode(candidates(F.col("x"), grid.width, F.col("n_cols")))).withColumn("row", F.explode(candidates(F.col("y"), grid.height, F.col("n_rows"))))
+    if grid.overlap == 0 and grid.borders != "extend":  # one tile at most, by division
+        df = df.withColumns({"col": F.floor(F.col("x") / grid.width), "row": F.floor(F.col("y") / grid.height)}).where("col < n_cols AND row < n_rows")
+    else:
+        df = df.withColumn("col", F.explode(candidates(F.col("x"), grid.width, F.col("n_cols")))).withColumn("row", F.explode(candidates(F.col("y"), grid.height, F.col("n_rows"))))
     df = _placed(df, grid).where("x >= off_x AND x < off_x + tile_w AND y >= off_y AND y < off_y + tile_h")
     kept = [c for c in pixels.columns if c not in ("image_id", "y", "x")]
     return df.select("image_id", "tile_id", "n_cols", "off_x", "off_y", "y", "x", *kept)

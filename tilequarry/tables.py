@@ -84,15 +84,17 @@ def _settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             up[x] = x = up[up[x]]
         return x
 
-    schema = None
+    kind = None
     for batch in batches:
-        schema = batch.schema
+        kind = batch.schema.types[0]
+        plain = (lambda x: tuple(x.values())) if pa.types.is_struct(kind) else (lambda x: x)
         for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            a, b = root(a), root(b)
+            a, b = root(plain(a)), root(plain(b))
             up[max(a, b)] = min(a, b)
-    if schema is not None:
-        nodes = list(up)
-        yield pa.record_batch([pa.array(nodes, schema.types[0]), pa.array(list(map(root, nodes)), schema.types[0])], ["node", "up"])
+    if kind is not None:
+        names = [f.name for f in kind] if pa.types.is_struct(kind) else None
+        column = lambda xs: pa.array([dict(zip(names, x)) for x in xs] if names else xs, kind)
+        yield pa.record_batch([column(list(up)), column(list(map(root, list(up))))], ["node", "up"])
 
 
 def components(links: DataFrame, name: str = "components", one_task: int = ONE_TASK_LINKS) -> DataFrame:
