@@ -14,6 +14,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 from .common import text_buffer
 
@@ -105,20 +106,53 @@ class Splitter:
         data, offsets = text_buffer(texts)
         if not len(data):
             return pa.array([], pa.large_binary()), np.zeros(len(offsets), np.int64)
-        lead = None
-        if data.max() < 128:
-            points = data
-        else:
-            lead = np.flatnonzero((data & 0xC0) != 0x80)
-            points = np.frombuffer(data.tobytes().decode().encode("utf-32-le"), "<u4")
-        first = np.zeros(len(points) + 1, bool)
-        first[offsets if lead is None else np.searchsorted(lead, offsets)] = True
-        begin = np.flatnonzero(starts_of(points, self.classes[points], first[:-1]))
-        if lead is not None:
-            begin = lead[begin]
-        bounds = np.append(begin, len(data)).astype(np.int64)
-        tokens = pa.Array.from_buffers(pa.large_binary(), len(begin), [None, pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(data))])
-        return tokens, np.searchsorted(begin, offsets)
+        points, lead, first = _points(data, offsets)
+        begin = np.flatnonzero(starts_of(points, self.classes[points], first))
+        return _cut(data, begin if lead is None else lead[begin], offsets)
+
+
+def _points(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray | None, np.ndarray]:
+    """Code points of UTF-8 bytes, the bytes they begin at (None: at their own place),
+    and whether a text begins at each."""
+    lead = None
+    if data.max() < 128:
+        points = data
+    else:
+        lead = np.flatnonzero((data & 0xC0) != 0x80)
+        points = np.frombuffer(data.tobytes().decode().encode("utf-32-le"), "<u4")
+    first = np.zeros(len(points) + 1, bool)
+    first[offsets if lead is None else np.searchsorted(lead, offsets)] = True
+    return points, lead, first[:-1]
+
+
+def _cut(data: np.ndarray, begin: np.ndarray, offsets: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    bounds = np.append(begin, len(data)).astype(np.int64)
+    tokens = pa.Array.from_buffers(pa.large_binary(), len(begin), [None, pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(data))])
+    return tokens, np.searchsorted(begin, offsets)
+
+
+@lru_cache(maxsize=None)
+def _word_letters() -> np.ndarray:
+    """Whether a code point is one of ``\\w``."""
+    return np.array([chr(c).isalnum() for c in range(0x40000)] + [False] * (0x110000 - 0x40000)) | (np.arange(0x110000) == ord("_"))
+
+
+def lower_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The ``\\w+`` words of texts in lower case (code point by code point): distinct
+    values as large_binary, each word's place among them, and the number of words before
+    each text and in all."""
+    data, offsets = text_buffer(pc.utf8_lower(texts))
+    if not len(data):
+        return pa.array([], pa.large_binary()), np.zeros(0, np.int32), np.zeros(len(offsets), np.int64)
+    points, lead, first = _points(data, offsets)
+    inside = _word_letters()[points]
+    start = first.copy()
+    start[1:] |= inside[1:] != inside[:-1]
+    begin = np.flatnonzero(start)
+    word = inside[begin]
+    tokens, before = _cut(data, begin if lead is None else lead[begin], offsets)
+    told = tokens.dictionary_encode()
+    return told.dictionary, told.indices.to_numpy()[word], np.concatenate([[0], np.cumsum(word)])[before]
 
 
 def parts(values: pa.Array, bounds: np.ndarray) -> pa.Array:
