@@ -27,6 +27,11 @@ def dilated(runs: DataFrame, reach: int, *keys: str) -> DataFrame:
     return covered(runs.withColumns({"x0": F.col("x0") - reach, "x1": F.col("x1") + reach}), reach, 1, *keys)
 
 
+def from_cells(cells: DataFrame, *keys: str) -> DataFrame:
+    """Maximal runs of cells (keys, y, x)."""
+    return covered(cells.select(*keys, "y", F.col("x").alias("x0"), (F.col("x") + 1).alias("x1")), 0, 1, *keys)
+
+
 def from_polygons(polygons: DataFrame, *keys: str, fill_holes: bool = False) -> DataFrame:
     """Runs of the cells whose centres lie in polygons (keys, rings array<array<struct<x,
     y>>>), by the even-odd rule over all rings; with ``fill_holes`` each ring is filled
@@ -43,7 +48,7 @@ def from_polygons(polygons: DataFrame, *keys: str, fill_holes: bool = False) ->
     row = Window.partitionBy(*own, "y").orderBy("x")
     pair = hit.select(*own, "y", "x", F.row_number().over(row).alias("k"), F.lead("x").over(row).alias("to")).where("k % 2 = 1")
     runs = pair.select(*keys, "y", F.ceil(F.col("x") - 0.5).alias("x0"), F.ceil(F.col("to") - 0.5).alias("x1")).where("x0 < x1")
-    return covered(runs, 0, 1, *keys) if fill_holes else runs
+    return covered(runs, 0, 1, *keys)
 
 
 def box_of(polygons: DataFrame, *keys: str) -> DataFrame:
@@ -93,18 +98,21 @@ def _gap(low: Column, high: Column) -> Column:
     return F.greatest(low, high, F.lit(0))
 
 
-def nearest(pairs: DataFrame, runs: DataFrame, within: float, *keys: str) -> DataFrame:
-    """(keys, a, b, distance) of ``pairs`` (keys, a, b: rids) whose cells come nearer
-    than ``within``, strictly; 0 where they touch or share cells.  ``runs`` is (keys, rid,
-    y, x0, x1).  Only rows that near meet, by an equi-join."""
+def nearest(pairs: DataFrame | None, runs: DataFrame, within: float, *keys: str) -> DataFrame:
+    """(keys, a, b, distance) of ``pairs`` (keys, a, b: rids), or of all pairs with a < b,
+    whose cells come nearer than ``within``, strictly; 0 where they touch or share
+    cells.  ``runs`` is (keys, rid, y, x0, x1).  Only runs whose rows are that near meet,
+    by an equi-join."""
     reach = math.ceil(within)
     a = runs.select(*keys, F.col("rid").alias("a"), F.col("y").alias("ya"), F.col("x0").alias("a0"), F.col("x1").alias("a1"))
     b = runs.select(*keys, F.col("rid").alias("b"), F.col("y").alias("yb"), F.col("x0").alias("b0"), F.col("x1").alias("b1"))
-    a = pairs.select(*keys, "a", "b").distinct().join(a, [*keys, "a"]).withColumn("yb", F.explode(F.sequence(F.col("ya") - reach, F.col("ya") + reach)))
+    a = a if pairs is None else pairs.select(*keys, "a", "b").distinct().join(a, [*keys, "a"])
+    a = a.withColumn("yb", F.explode(F.sequence(F.col("ya") - reach, F.col("ya") + reach)))
     gap_x = _gap(F.col("a0") - F.col("b1"), F.col("b0") - F.col("a1"))
     gap_y = F.greatest(F.abs(F.col("ya") - F.col("yb")) - 1, F.lit(0))
     square = (gap_x * gap_x + gap_y * gap_y).alias("square")
-    near = a.join(b, [*keys, "b", "yb"]).select(*keys, "a", "b", square).where(F.col("square") < within * within)
+    both = a.join(b, [*keys, "yb"]).where("a < b") if pairs is None else a.join(b, [*keys, "b", "yb"])
+    near = both.select(*keys, "a", "b", square).where(F.col("square") < within * within)
     return near.groupBy(*keys, "a", "b").agg(F.sqrt(F.min("square").cast("double")).alias("distance"))
 
 

@@ -17,6 +17,11 @@ def labels_index(labels: Sequence) -> dict:
     return {label: k for k, label in enumerate(labels)}
 
 
+def label_count(mapping: Sequence | Mapping | None) -> int:
+    """Labels of a mapping; none without one."""
+    return 0 if mapping is None else len(mapping) if isinstance(mapping, Mapping) else len(labels_index(mapping))
+
+
 def rule_based(objects: DataFrame, rules: Sequence[Column], labels: Sequence | None = None) -> DataFrame:
     """``objects`` with dispatch: the label of the first rule that holds, null if none
     does.  Rules are expressions; later ones are not evaluated where one held."""

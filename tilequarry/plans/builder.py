@@ -137,13 +137,17 @@ class ChainBuilder:
         self.first, self.label = workflow, "0" if label is None else label
         return self
 
-    def add_executor(self, workflow: Workflow, chosen: Callable[[DataFrame], DataFrame] = keep_all, label: str | None = None, translate: bool = True):
-        self.stages.append(Stage(workflow, chosen, str(len(self.stages) + 1) if label is None else label, translate))
+    def add_executor(self, workflow: Workflow, chosen: Callable[[DataFrame], DataFrame] = keep_all, label: str | None = None, translate: bool = True, masked: bool = True):
+        """A further stage; ``masked``: it sees only the cells of the objects it looks at."""
+        self.stages.append(Stage(workflow, chosen, str(len(self.stages) + 1) if label is None else label, translate, masked))
         return self
 
     def get(self) -> Chain:
         if self.first is None:
             raise MissingPart("first workflow")
+        labels = [self.label, *(s.label for s in self.stages)]
+        if len(set(labels)) < len(labels):
+            raise ConflictingParts(f"stages need labels of their own: {', '.join(labels)}")
         out = Chain(self.first, self.stages, self.label)
         self._reset()
         return out

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import arrays, geometry, timing
+from ..errors import TileReadError
+from ..functions import arrays, geometry, regions, timing
 from ..operators import dispatch, locate, merge, segment, tiling
 from ..sources import rasters
 from . import workflow as wf
@@ -161,6 +162,33 @@ def segment_true_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _probabilities(spark, sf_dir).select("image_id", "y", segment.true_labels(segment.argmax(F.col("p")), [125, 128, 129, 200]).alias("cls"))
 
 
+def _half(frame):
+    """A model of a tile's neighbourhood: above half the tile's largest value."""
+    if frame["tile_id"].iloc[0] == 3 and frame["image_id"].iloc[0] % 5 == 0:
+        raise TileReadError("a tile of the fifth images")
+    return frame.assign(cls=(frame["v"] > frame["v"].max() / 2).astype("int32"))[["image_id", "tile_id", "y", "x", "cls"]]
+
+
+HALF = f"WITH {TILED} SELECT image_id, tile_id, y, x, CAST(v > max(v) OVER (PARTITION BY image_id, tile_id) / 2 AS INTEGER) AS cls FROM tp"
+TILE_CLASSES = "image_id long, tile_id long, y long, x long, cls int"
+
+
+def _tile_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tiling.tile_pixels(*rasters.emb8(spark, sf_dir), SMALL).select("image_id", "tile_id", "y", "x", "v")
+
+
+@query(f"SELECT * FROM ({HALF}) WHERE NOT (tile_id = 3 AND image_id % 5 = 0)")
+def segment_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A model a tile; tiles that can't be read have no rows."""
+    return segment.by_tile(_tile_pixels(spark, sf_dir), _half, TILE_CLASSES)
+
+
+@query(f"SELECT * FROM ({HALF}) WHERE NOT (tile_id = 3 AND image_id % 5 = 0)")
+def segment_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A model for three tiles a call."""
+    return segment.by_batch(_tile_pixels(spark, sf_dir), lambda frames: [_half(f) for f in frames], TILE_CLASSES, 3)
+
+
 # --- locate ---------------------------------------------------------------------
 
 def _whole(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -220,6 +248,71 @@ def region_point(spark: SparkSession, sf_dir: str) -> DataFrame:
     return locate.representative(_whole(spark, sf_dir)).select("image_id", "y", "x")
 
 
+# --- regions as sets of cells --------------------------------------------------------
+
+PARTS = "s AS (SELECT p_partkey AS image_id, CAST(p_size % 20 + 3 AS DOUBLE) AS w, CAST(p_partkey % 15 + 4 AS DOUBLE) AS h FROM part)"
+CORNERS = [[("0", "0"), ("w", "0"), ("w", "h"), ("w / 2", "h / 2"), ("0", "h")], [("w / 4", "h / 8"), ("w / 2", "h / 8"), ("w / 2", "h / 4"), ("w / 4", "h / 4")]]
+SIDES_OF = ", ".join(f"{{r: {r}, ax: CAST({a[0]} AS DOUBLE), ay: CAST({a[1]} AS DOUBLE), bx: CAST({b[0]} AS DOUBLE), b_y: CAST({b[1]} AS DOUBLE)}}" for r, ring in enumerate(CORNERS) for a, b in zip(ring, ring[1:] + ring[:1]))
+INSIDE = f"WITH {PARTS}, edge AS (SELECT image_id, e.* FROM (SELECT image_id, unnest([{SIDES_OF}]) AS e FROM s)), cell AS (SELECT image_id, x, y FROM s, range(0, 23) a(x), range(0, 19) b(y) WHERE x < w AND y < h), hit AS (SELECT c.image_id, {{own}} y, x FROM cell c JOIN edge e ON e.image_id = c.image_id AND ((ay <= y + 0.5 AND b_y > y + 0.5) OR (b_y <= y + 0.5 AND ay > y + 0.5)) AND ax + (y + 0.5 - ay) * (bx - ax) / (b_y - ay) <= x + 0.5 GROUP BY ALL HAVING count(*) % 2 = 1), g AS (SELECT *, x - row_number() OVER (PARTITION BY image_id, y ORDER BY x) AS g FROM (SELECT DISTINCT image_id, y, x FROM hit)) SELECT image_id, y, min(x) AS x0, max(x) + 1 AS x1 FROM g GROUP BY image_id, y, g"
+
+
+def _polygons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A concave ring and a second one inside or across it for each part."""
+    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    sizes = part.select(F.col("p_partkey").alias("image_id"), (F.col("p_size") % 20 + 3).cast("double").alias("w"), (F.col("p_partkey") % 15 + 4).cast("double").alias("h"))
+    point = lambda x, y: F.struct(F.expr(x).cast("double").alias("x"), F.expr(y).cast("double").alias("y"))
+    return sizes.select("image_id", F.array(*[F.array(*[point(x, y) for x, y in ring]) for ring in CORNERS]).alias("rings"))
+
+
+@query(INSIDE.replace("{own}", ""))
+def polygon_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return regions.from_polygons(_polygons(spark, sf_dir), "image_id")
+
+
+@query(INSIDE.replace("{own}", "r,"))
+def polygon_filled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return regions.from_polygons(_polygons(spark, sf_dir), "image_id", fill_holes=True)
+
+
+@query(f"WITH {DIMS}, {PARTS} SELECT image_id, CAST(0 AS BIGINT) AS off_x, CAST(0 AS BIGINT) AS off_y, least(CAST(ceil(s.w) AS BIGINT), width) AS width, least(CAST(ceil(s.h) AS BIGINT), height) AS height FROM s JOIN dims USING (image_id)")
+def polygon_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return regions.windows_of(rasters.part_dims(spark, sf_dir), _polygons(spark, sf_dir))
+
+
+@query(WHOLE + " SELECT a.image_id, a.root AS root_a, b.root AS root_b, round(sqrt(min(greatest(abs(a.x - b.x) - 1, 0) ** 2 + greatest(abs(a.y - b.y) - 1, 0) ** 2)), 9) AS distance FROM lab a JOIN lab b ON a.image_id = b.image_id AND a.root < b.root GROUP BY ALL HAVING min(greatest(abs(a.x - b.x) - 1, 0) ** 2 + greatest(abs(a.y - b.y) - 1, 0) ** 2) < 6.25")
+def region_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    runs = _whole(spark, sf_dir)
+    names = runs.groupBy("image_id", "rid").agg(root().alias("root"))
+    near = regions.nearest(None, runs, 2.5, "image_id")
+    for c in ("a", "b"):
+        near = near.join(names.select("image_id", F.col("rid").alias(c), F.col("root").alias(f"root_{c}")), ["image_id", c])
+    return near.select("image_id", F.least("root_a", "root_b").alias("root_a"), F.greatest("root_a", "root_b").alias("root_b"), F.round("distance", 9).alias("distance"))
+
+
+@query(WHOLE + " SELECT image_id, root, count(*) AS area FROM (SELECT DISTINCT image_id, root, y + dy AS y, x + dx AS x FROM lab, range(-2, 3) a(dy), range(-2, 3) b(dx)) GROUP BY ALL")
+def region_buffer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    runs = _whole(spark, sf_dir)
+    roots = runs.groupBy("image_id", "rid").agg(root().alias("root"))
+    wide = regions.dilated(runs, 2, "image_id", "rid").groupBy("image_id", "rid").agg(F.sum(F.col("x1") - F.col("x0")).alias("area"))
+    return wide.join(roots, ["image_id", "rid"]).select("image_id", "root", "area")
+
+
+@query(f"WITH {EMB} SELECT image_id, count(*) FILTER (WHERE v > 0.1) = count(*) FILTER (WHERE v > 0.1 AND v < 0.25) AS same FROM emb8 GROUP BY 1 HAVING count(*) FILTER (WHERE v > 0.1) > 0")
+def region_same(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cells = rasters.emb8(spark, sf_dir)[1].where("v > 0.1")
+    return regions.same(regions.from_cells(cells, "image_id"), regions.from_cells(cells.where("v < 0.25"), "image_id"), "image_id")
+
+
+@query(f"WITH {EMB} SELECT image_id, y - 1 AS y, x - 2 AS x FROM emb8 WHERE x >= 2 AND x < 7 AND y >= 1 AND y < 5 AND v > -0.05 AND v < 0.15")
+def mask_composed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The masks of windows of 5 x 4 at (2, 1) in masked images."""
+    images, pixels = rasters.emb8(spark, sf_dir)
+    wins = images.select("image_id", F.lit(2).alias("off_x"), F.lit(1).alias("off_y"), F.lit(5).alias("width"), F.lit(4).alias("height"))
+    child = pixels.where("v > -0.05 AND x >= 2 AND y >= 1").select("image_id", (F.col("y") - 1).alias("y"), (F.col("x") - 2).alias("x"))
+    mask = regions.composed(wins, regions.from_cells(child, "image_id"), regions.from_cells(pixels.where("v < 0.15"), "image_id"), "image_id")
+    return merge.cells_of(mask)
+
+
 # --- merge -----------------------------------------------------------------------
 
 def _rooted(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:

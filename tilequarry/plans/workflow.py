@@ -165,6 +165,16 @@ def window_rasters(wins: DataFrame, pixels: DataFrame, runs: DataFrame | None, b
     return images, part
 
 
+def with_stage(information: DataFrame, label: str, rows: DataFrame) -> DataFrame:
+    """Information on a chain (stage, stage_ord, ...) with ``rows`` as the stage
+    ``label``: in place of that stage's rows if it is there, after the last one if not.
+    Columns that one side lacks are null."""
+    place = information.where(F.col("stage") == label).agg(F.min("stage_ord").alias("own"))
+    place = place.join(information.agg((F.coalesce(F.max("stage_ord"), F.lit(-1)) + 1).alias("next"))).select(F.coalesce("own", "next").cast("int").alias("stage_ord"))
+    new = rows.drop("stage", "stage_ord").withColumn("stage", F.lit(label)).join(F.broadcast(place))  # one row
+    return information.where(F.col("stage") != label).unionByName(new, allowMissingColumns=True)
+
+
 def merge_results(first: DataFrame, other: DataFrame) -> DataFrame:
     """Both results' rows with the columns of ``first``, all of which ``other`` must
     have; what only ``other`` has is left out."""

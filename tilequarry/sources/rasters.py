@@ -4,13 +4,16 @@ foreground."""
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+import warnings
+from collections.abc import Callable, Iterable
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..errors import ImageReadError
+
 
 def from_arrays(spark: SparkSession, arrays: dict[int, np.ndarray]) -> tuple[DataFrame, DataFrame]:
     """In-memory images ([h, w] or [h, w, c]) as (images, pixels); with several
@@ -44,9 +47,21 @@ def from_image_files(spark: SparkSession, path: str) -> tuple[DataFrame, DataFra
     return images, pixels
 
 
-def collection(parts: Iterable[tuple[DataFrame, DataFrame]]) -> tuple[DataFrame, DataFrame]:
-    """Several sources as one: a bag union of images and of pixels."""
-    images, pixels = zip(*parts)
+def collection(parts: Iterable[tuple[DataFrame, DataFrame] | Callable[[], tuple[DataFrame, DataFrame]]], silent_fail: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Several sources as one: a bag union of images and of pixels.  A source may be a
+    function that opens it; with ``silent_fail``, those that raise ImageReadError are
+    left out with a warning.  None left is an ImageReadError."""
+    found = []
+    for part in parts:
+        try:
+            found.append(part() if callable(part) else part)
+        except ImageReadError as error:
+            if not silent_fail:
+                raise
+            warnings.warn(f"an image source is left out: {error}", stacklevel=2)
+    if not found:
+        raise ImageReadError("no source of images is left")
+    images, pixels = zip(*found)
     out = [images[0], pixels[0]]
     for i, p in zip(images[1:], pixels[1:]):
         out = [out[0].unionByName(i), out[1].unionByName(p)]
