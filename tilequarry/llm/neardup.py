@@ -162,7 +162,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, miss: float
     sizes = families.groupBy("component").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
     member = families.join(sizes, "component").select(F.col("node").alias("id"), "component", "blocks", F.pmod(F.xxhash64("node"), "blocks").cast("int").alias("own"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    routed = as_documents(docs, id_col, text_col).withColumnRenamed(id_col, "id").withColumnRenamed(text_col, "text").join(member, "id").withColumn("other", other)
+    routed = as_documents(docs, id_col, text_col).withColumnRenamed(id_col, "id").withColumnRenamed(text_col, "text").join(member.hint("merge"), "id").withColumn("other", other)
     low, high = F.least("own", "other"), F.greatest("own", "other")
     routed = routed.select(F.xxhash64("component", low, high).alias("g"), F.col("own").alias("side"), (F.col("own") != F.col("other")).alias("cross"), low.alias("low"), high.alias("high"), "id", "text")
     # both blocks of a pair meet under one key; "cross" must hold for the whole group
