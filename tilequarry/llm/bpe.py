@@ -37,13 +37,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_documents, by_bytes, mix64, shuffle_width, text_buffer
+from .common import as_documents, by_bytes, give_back, mix64, shuffle_width, text_buffer
 from .pretokens import parts
 from .shingles import powers
 from .tokens import rank_codec, ranks
 
 #: Text bytes of a chunk.
-CHUNK_BYTES = 16 << 20
+CHUNK_BYTES = 8 << 20
 BUCKETS, MAX_BUCKETS = 256, 4096
 _LETTER = np.random.default_rng(20250511).integers(1, 1 << 63, 256, dtype=np.uint64)
 _ZSTD = pa.Codec("zstd")
@@ -136,6 +136,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
         size = np.diff(offsets).astype("<u4")
         cuts = list(zip(own.cuts[:-1].tolist(), own.cuts[1:].tolist()))
         blocks = [_squeezed(size[a:b], data[offsets[a] : offsets[b]]) for a, b in cuts]
+        give_back()
         return pa.table({"chunk": pa.array([group.column("chunk")[0].as_py()] * len(cuts), pa.int64()), "bucket": pa.array(own.bucket[own.cuts[:-1]].astype(np.int32)), "words": pa.array(blocks, pa.binary())})
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,6 +148,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
                 data, offsets = text_buffer(ids)
                 replies.append(_squeezed((np.diff(offsets) // 4).astype("<u4"), data.view("<u4")))
             yield pa.record_batch({"chunk": batch.column("chunk"), "bucket": batch.column("bucket"), "reply": pa.array(replies, pa.binary())})
+        codec.clear()  # other tasks have other buckets
 
     def assemble(group: pa.Table, replies: pa.Table) -> pa.Table:
         own = _Chunk(group.column("pack"), rank_codec(shipped, pattern).splitter, n_buckets)
@@ -161,6 +163,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
         for first in own.firsts:
             out.append(parts(word_ids.take(own.index.slice(at, int(first[-1]))), first).cast(pa.binary()))
             at += int(first[-1])
+        give_back()
         return pa.table({"id": pa.chunked_array(own.keys, pa.int64()), "ids": pa.chunked_array(out, pa.binary())})
 
     replies = packs.groupBy("chunk").applyInArrow(ask, "chunk long, bucket int, words binary").repartition(max(shuffle_width(spark), min(width, n_buckets)), "bucket").mapInArrow(answer, "chunk long, bucket int, reply binary")

@@ -43,7 +43,7 @@ def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def _give_back() -> None:
+def give_back() -> None:
     """Return free memory to the system: workers outlive their tasks and stay beside
     the executor's heap."""
     pa.default_memory_pool().release_unused()
@@ -65,7 +65,7 @@ def by_bytes(batches: Iterable[pa.RecordBatch], column: str, limit: int = 1 << 2
             total += n
         if begin < batch.num_rows:
             yield batch.slice(begin)
-    _give_back()
+    give_back()
 
 
 def runs_of(batches: Iterable[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
@@ -88,7 +88,7 @@ def runs_of(batches: Iterable[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
             held.append(batch)
     if held:
         yield pa.Table.from_batches(held)
-    _give_back()
+    give_back()
 
 
 MULT = np.uint64(0x9E3779B97F4A7C15)

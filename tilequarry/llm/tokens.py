@@ -20,8 +20,6 @@ from .pretokens import Splitter, classes_of_tiktoken
 MAX_VOCABULARY_BYTES = 64 << 20
 #: Distinct words a worker remembers at most.
 CACHE_WORDS = 600_000
-#: Distinct words a worker remembers at most.
-CACHE_WORDS = 600_000
 
 
 def vocabulary(spark: SparkSession, path: str, classes=None):
@@ -52,24 +50,6 @@ class WordIds(dict):
         return pa.array([self[w] for w in words.to_pylist()], pa.large_binary())
 
 
-class WordIds(dict):
-    """Maps the bytes of a word to its ids as bytes (little-endian unsigned 32-bit);
-    subclasses say how in ``word_ids``.  Bounded: it starts over when full."""
-
-    def word_ids(self, word: bytes) -> list[int]:
-        raise NotImplementedError
-
-    def __missing__(self, word: bytes) -> bytes:
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        self[word] = ids = np.array(self.word_ids(word), "<u4").tobytes()
-        return ids
-
-    def of(self, words: pa.Array) -> pa.Array:
-        """The ids of each word as large_binary."""
-        return pa.array([self[w] for w in words.to_pylist()], pa.large_binary())
-
-
 class RankCodec(WordIds):
     """Byte-pair ranks and the pattern that splits text before the merges."""
 
