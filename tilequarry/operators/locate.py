@@ -21,68 +21,97 @@ RUNS = "image_id long, tile_id long, rid long, label int, y long, x0 long, x1 lo
 REGIONS = 1 << 24
 
 
-def label_runs(group: np.ndarray, y: np.ndarray, x: np.ndarray, cls: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For cells sorted by (group, y, x): first and last cell of each run, and the
-    run's region as the first run of the region."""
-    n = len(x)
-    fresh = np.ones(n, bool)
-    fresh[1:] = (group[1:] != group[:-1]) | (y[1:] != y[:-1]) | (x[1:] != x[:-1] + 1) | (cls[1:] != cls[:-1])
-    run = np.cumsum(fresh) - 1
-    first = np.flatnonzero(fresh)
-    last = np.append(first[1:], n) - 1
-    # the cell below: cells are sorted, so rows of a group are intervals
+def label_runs(group: np.ndarray, y: np.ndarray, x0: np.ndarray, x1: np.ndarray, cls: np.ndarray) -> np.ndarray:
+    """For disjoint runs sorted by (group, y, x0), of which touching ones in a row differ
+    in class: each run's region as the first run of the region."""
+    n = len(x0)
+    root = np.arange(n)
+    if not n:
+        return root
     new_row = np.ones(n, bool)
     new_row[1:] = (group[1:] != group[:-1]) | (y[1:] != y[:-1])
     row_start = np.flatnonzero(new_row)
     row_of = np.cumsum(new_row) - 1
-    follows = np.zeros(len(row_start), bool)
+    follows = np.zeros(len(row_start), bool)  # whether the next row lies right below
     follows[:-1] = (group[row_start[1:]] == group[row_start[:-1]]) & (y[row_start[1:]] == y[row_start[:-1]] + 1)
-    width = int(x.max()) - int(x.min()) + 2 if n else 1
-    key = row_of * width + (x - x.min() if n else x)
-    below = np.searchsorted(key, key + width)
-    ok = follows[row_of] & (below < n)
-    ok[ok] &= (key[below[ok]] == key[ok] + width) & (cls[below[ok]] == cls[ok])
-    a, b = run[ok], run[below[ok]]
-    root = np.arange(len(first))
+    low = int(x0.min())
+    width = int(x1.max()) - low + 2
+    begin, stop = row_of * width + (x0 - low), row_of * width + (x1 - low)
+    # runs of the next row that overlap: those that end after this one begins and begin before it ends
+    first, last = np.searchsorted(stop, begin + width, "right"), np.searchsorted(begin, stop + width, "left")
+    many = np.where(follows[row_of], np.maximum(last - first, 0), 0)
+    a = np.repeat(np.arange(n), many)
+    b = np.arange(len(a)) + np.repeat(first - (np.cumsum(many) - many), many)
+    same = cls[a] == cls[b]
+    a, b = a[same], b[same]
     while len(a):  # smallest label over edges, then pointers to pointers
-        low = np.minimum(root[a], root[b])
+        least = np.minimum(root[a], root[b])
         before = root.copy()
-        np.minimum.at(root, root[a], low)
-        np.minimum.at(root, root[b], low)
-        np.minimum.at(root, a, low)
-        np.minimum.at(root, b, low)
+        np.minimum.at(root, root[a], least)
+        np.minimum.at(root, root[b], least)
+        np.minimum.at(root, a, least)
+        np.minimum.at(root, b, least)
         while (root != root[root]).any():
             root = root[root]
         if (root == before).all():
             break
-    return first, last, root
+    return root
+
+
+def _joined(image, tile, y, x0, x1, cls) -> list[np.ndarray]:
+    """The same cells with runs that continue the one before joined to it."""
+    fresh = np.ones(len(y), bool)
+    fresh[1:] = (image[1:] != image[:-1]) | (tile[1:] != tile[:-1]) | (y[1:] != y[:-1]) | (x0[1:] != x1[:-1]) | (cls[1:] != cls[:-1])
+    first = np.flatnonzero(fresh)
+    last = np.append(first[1:], len(y))[: len(first)] - 1
+    return [image[first], tile[first], y[first], x0[first], x1[last], cls[first]]
+
+
+def _apart(image, tile, y, x0, x1, cls) -> list[np.ndarray]:
+    """Sorted runs without overlaps: a cell that is there more than once has its
+    smallest class."""
+    over = np.zeros(len(y), bool)
+    if len(y) > 1:
+        over[1:] = (image[1:] == image[:-1]) & (tile[1:] == tile[:-1]) & (y[1:] == y[:-1]) & (x0[1:] < x1[:-1])
+    if not over.any():
+        return [image, tile, y, x0, x1, cls]
+    size = x1 - x0
+    x = np.arange(int(size.sum())) + np.repeat(x0 - (np.cumsum(size) - size), size)
+    image, tile, y, cls = (np.repeat(c, size) for c in (image, tile, y, cls))
+    order = np.lexsort((cls, x, y, tile, image))
+    image, tile, y, x, cls = (c[order] for c in (image, tile, y, x, cls))
+    fresh = np.ones(len(x), bool)
+    fresh[1:] = (x[1:] != x[:-1]) | (y[1:] != y[:-1]) | (tile[1:] != tile[:-1]) | (image[1:] != image[:-1])
+    image, tile, y, x, cls = (c[fresh] for c in (image, tile, y, x, cls))
+    return [image, tile, y, x, x + 1, cls]
 
 
 def runs(cells: DataFrame, background: int = -1) -> DataFrame:
     """Runs of all regions of ``cells`` (image_id, tile_id, y, x, cls) but those of
-    class ``background``.  Whole tiles are dealt by (image, tile); many small tiles
-    share a batch."""
+    class ``background``.  Cells that follow one another where they are read become
+    runs before they are dealt, by (image, tile), so an image stored row by row moves a
+    row a run; many small tiles share a batch."""
+    names = ["image_id", "tile_id", "y", "x0", "x1", "cls"]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def narrowed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            image, tile, y, x, cls = (batch.column(c).to_numpy() for c in ("image_id", "tile_id", "y", "x", "cls"))
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in _joined(image, tile, y, x, x + 1, cls)], names)
+
+    def regions(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+        image, tile, y, x0, x1, cls = _joined(*_apart(*(np.concatenate([p.column(c).to_numpy() for p in parts]) for c in names)))
+        change = np.ones(len(image), bool)
+        change[1:] = (image[1:] != image[:-1]) | (tile[1:] != tile[:-1])
+        group = np.cumsum(change) - 1
+        root = label_runs(group, y, x0, x1, cls)
+        heads = np.unique(root)  # in order of the first cell, so of (tile, y, x)
+        of_group = group[heads]
+        number = np.arange(len(heads)) - np.searchsorted(of_group, of_group)
+        rid = tile * REGIONS + number[np.searchsorted(heads, root)]
+        return pa.RecordBatch.from_arrays([pa.array(image), pa.array(tile), pa.array(rid), pa.array(cls, pa.int32()), pa.array(y), pa.array(x0), pa.array(x1)], [c.split()[0] for c in RUNS.split(", ")])
+
+    def located(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
-
-        def flush(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
-            cols = {c: np.concatenate([p.column(c).to_numpy() for p in parts]) for c in ("image_id", "tile_id", "y", "x", "cls")}
-            fresh = np.ones(len(cols["x"]), bool)  # a cell that is there twice has its smallest class
-            fresh[1:] = (np.diff(cols["x"]) != 0) | (np.diff(cols["y"]) != 0) | (np.diff(cols["tile_id"]) != 0) | (np.diff(cols["image_id"]) != 0)
-            if not fresh.all():
-                cols = {c: v[fresh] for c, v in cols.items()}
-            image, tile = cols["image_id"], cols["tile_id"]
-            change = np.ones(len(image), bool)
-            change[1:] = (image[1:] != image[:-1]) | (tile[1:] != tile[:-1])
-            group = np.cumsum(change) - 1
-            first, last, root = label_runs(group, cols["y"], cols["x"], cols["cls"])
-            heads = np.unique(root)  # in order of the first cell, so of (tile, y, x)
-            of_group = group[first[heads]]
-            number = np.arange(len(heads)) - np.searchsorted(of_group, of_group)
-            rid = tile[first] * REGIONS + number[np.searchsorted(heads, root)]
-            return pa.RecordBatch.from_arrays([pa.array(image[first]), pa.array(tile[first]), pa.array(rid), pa.array(cols["cls"][first], pa.int32()), pa.array(cols["y"][first]), pa.array(cols["x"][first]), pa.array(cols["x"][last] + 1)], [c.split()[0] for c in RUNS.split(", ")])
-
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -91,20 +120,20 @@ def runs(cells: DataFrame, background: int = -1) -> DataFrame:
             if held:
                 end = held[-1]
                 if (end.column("image_id")[-1].as_py(), end.column("tile_id")[-1].as_py()) != (image[0], tile[0]):
-                    yield flush(held)
+                    yield regions(held)
                     held = []
             if len(change):
                 held.append(batch.slice(0, change[-1]))
-                yield flush(held)
+                yield regions(held)
                 held = [batch.slice(change[-1])]
             else:
                 held.append(batch)
         if held:
-            yield flush(held)
+            yield regions(held)
 
     cells = cells.where((F.col("cls") != background) & F.col("cls").isNotNull()).select("image_id", "tile_id", F.col("y").cast("long"), F.col("x").cast("long"), F.col("cls").cast("int"))
-    cells = cells.repartition(shuffle_width(cells.sparkSession), "image_id", "tile_id")
-    return cells.sortWithinPartitions("image_id", "tile_id", "y", "x", "cls").mapInArrow(run, RUNS)
+    rows = cells.mapInArrow(narrowed, "image_id long, tile_id long, y long, x0 long, x1 long, cls int").repartition(shuffle_width(cells.sparkSession), "image_id", "tile_id")
+    return rows.sortWithinPartitions("image_id", "tile_id", "y", "x0", "cls").mapInArrow(located, RUNS)
 
 
 def measures(runs_df: DataFrame, *keys: str) -> DataFrame:
