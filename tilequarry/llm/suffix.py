@@ -4,34 +4,14 @@ Suffixes are classified as smaller (S) or larger (L) than their right
 neighbour; leftmost-smaller substrings are sorted by one induction, named, and
 the string of their names is sorted recursively; a second induction places all
 suffixes.  An induction goes over the buckets once, and every entry is moved
-once, so a shard costs linear work.  Strings of names whose alphabet is too large
-to go bucket by bucket are sorted by doubling ranks instead.
+once, so a shard costs linear work; the recursion goes on until all names differ,
+with however many letters, and each level is at most half as long as the one above.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
-#: Largest alphabet that is induced bucket by bucket.
-SMALL_ALPHABET = 1024
-
-
-def _by_doubling(s: np.ndarray) -> np.ndarray:
-    rank, step, n = s.astype(np.int64), 1, len(s)
-    order = np.argsort(rank, kind="stable")
-    while True:
-        tail = np.zeros(n, np.int64)
-        tail[: max(0, n - step)] = rank[step:] + 1
-        key = rank * (int(tail.max()) + 1 if n else 1) + tail
-        order = np.argsort(key, kind="stable")
-        fresh = np.concatenate([[0], np.cumsum(key[order][1:] != key[order][:-1])])
-        rank = np.empty(n, np.int64)
-        rank[order] = fresh
-        step *= 2
-        if not n or fresh[-1] == n - 1 or step >= n:
-            return order
-
-
 def _induce(s: np.ndarray, larger: np.ndarray, lms: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """The suffixes of ``s`` in order, given its leftmost-smaller ones in order
     (``lms``; only their first letters need be in order for the first pass)."""
@@ -75,15 +55,36 @@ def _induce(s: np.ndarray, larger: np.ndarray, lms: np.ndarray, start: np.ndarra
     return sa
 
 
+def _induce_singly(s: list[int], larger: list[bool], lms: list[int], start: list[int], end: list[int]) -> np.ndarray:
+    """As ``_induce``, entry by entry: where buckets hold a few suffixes each, as those
+    of names do, array operations on each bucket cost more than its entries."""
+    sa, tail, head = [-1] * len(s), end.copy(), start.copy()
+    for j in reversed(lms):
+        tail[s[j]] -= 1
+        sa[tail[s[j]]] = j
+    for i in range(len(s)):
+        j = sa[i] - 1
+        if j >= 0 and larger[j]:
+            c = s[j]
+            sa[head[c]] = j
+            head[c] += 1
+    tail = end.copy()
+    for i in range(len(s) - 1, -1, -1):
+        j = sa[i] - 1
+        if j >= 0 and not larger[j]:
+            c = s[j]
+            tail[c] -= 1
+            sa[tail[c]] = j
+    return np.array(sa, np.int64)
+
+
 def suffix_array(s: np.ndarray, letters: int) -> np.ndarray:
     """Suffix array of ``s`` (integers in [0, letters)), whose last letter is
     smaller than all others and unique."""
     n = len(s)
     if n < 3:
         return np.argsort(s, kind="stable")
-    if letters > SMALL_ALPHABET:
-        return _by_doubling(s)
-    s = s.astype(np.int16)
+    s = s.astype(np.int16 if letters < 1 << 15 else np.int32)
     differs = np.flatnonzero(s[:-1] != s[1:])
     next_change = differs[np.searchsorted(differs, np.arange(n - 1))]
     larger = np.zeros(n, bool)
@@ -92,7 +93,12 @@ def suffix_array(s: np.ndarray, letters: int) -> np.ndarray:
     count = np.bincount(s, minlength=letters)
     end = np.cumsum(count)
     start = end - count
-    sa = _induce(s, larger, lms[np.argsort(s[lms], kind="stable")], start, end)
+    if len(s) < 64 * letters:
+        lists = s.tolist(), larger.tolist(), start.tolist(), end.tolist()
+        induce = lambda seeds: _induce_singly(lists[0], lists[1], seeds.tolist(), lists[2], lists[3])
+    else:
+        induce = lambda seeds: _induce(s, larger, seeds, start, end)
+    sa = induce(lms[np.argsort(s[lms], kind="stable")])
     is_lms = np.zeros(n, bool)
     is_lms[lms] = True
     # the end letter is an S suffix without an S successor: place() never yields it
@@ -107,7 +113,7 @@ def suffix_array(s: np.ndarray, letters: int) -> np.ndarray:
         names[where] = name
         if name[-1] + 1 < len(lms):
             ordered = lms[suffix_array(names, int(name[-1]) + 1)]
-    sa = _induce(s, larger, ordered, start, end)
+    sa = induce(ordered)
     sa[0] = n - 1
     return sa
 
