@@ -146,13 +146,18 @@ def lower_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
         return pa.array([], pa.large_binary()), np.zeros(0, np.int32), np.zeros(len(offsets), np.int64)
     points, lead, first = _points(data, offsets)
     inside = _word_letters()[points]
-    start = first.copy()
-    start[1:] |= inside[1:] != inside[:-1]
-    begin = np.flatnonzero(start)
-    word = inside[begin]
-    tokens, before = _cut(data, begin if lead is None else lead[begin], offsets)
-    told = tokens.dictionary_encode()
-    return told.dictionary, told.indices.to_numpy()[word], np.concatenate([[0], np.cumsum(word)])[before]
+    start, last = inside.copy(), inside.copy()
+    start[1:] &= ~inside[:-1] | first[1:]
+    last[:-1] &= ~inside[1:] | first[1:]
+    begin, stop = np.flatnonzero(start), np.flatnonzero(last) + 1
+    if lead is not None:
+        lead = np.append(lead, len(data))
+        inside = np.repeat(inside, np.diff(lead))
+        begin, stop = lead[begin], lead[stop]
+    bounds = np.concatenate([[0], np.cumsum(stop - begin)])
+    words = pa.Array.from_buffers(pa.large_binary(), len(begin), [None, pa.py_buffer(bounds), pa.py_buffer(data[inside])])
+    told = words.dictionary_encode()
+    return told.dictionary, told.indices.to_numpy(), np.searchsorted(begin, offsets)
 
 
 def parts(values: pa.Array, bounds: np.ndarray) -> pa.Array:
