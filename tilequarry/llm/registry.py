@@ -72,4 +72,16 @@ SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, d.h AS payload_digest,
 FROM d LEFT JOIN f ON d.h = f.h
 """,
     "op8_reply_trees": chat.ORACLE,
+    "op9_near_duplicates": r"""
+WITH RECURSIVE word AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+     own AS (SELECT doc_id, CASE WHEN len(w) >= 3 THEN [w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] FOR i IN range(1, len(w) - 1)] WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS s FROM word),
+     sh AS (SELECT doc_id, unnest(list_distinct(s)) AS g FROM own),
+     n AS (SELECT doc_id, len(list_distinct(s)) AS n FROM own),
+     met AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM sh a JOIN sh b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+     link AS (SELECT a, b FROM met JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 85 * (x.n + y.n - k)),
+     edge AS (SELECT a, b FROM link UNION SELECT b, a FROM link),
+     walk AS (SELECT doc_id, doc_id AS root FROM documents UNION SELECT e.b, w.root FROM walk w JOIN edge e ON e.a = w.doc_id),
+     top AS (SELECT doc_id, min(root) AS component_id FROM walk GROUP BY 1)
+SELECT doc_id, n AS n_shingles, component_id, doc_id = component_id AS kept FROM n JOIN top USING (doc_id)
+""",
 }
