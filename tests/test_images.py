@@ -178,6 +178,21 @@ def test_labelling_of_drawn_squares(spark):
     assert [(r.label, r.area) for r in flow.process(*big).objects.collect()] == [(255, 181**2)]
 
 
+def test_a_model_of_tiles_gets_batches(spark):
+    """Three tiles a call; calls of another size would find nothing."""
+
+    def model(frames):
+        full = [len(f) == 100 for f in frames]
+        return [f.assign(cls=((f["v"] > 0) & all(full) & (len(frames) in (3, 1))).astype("int32"))[["image_id", "tile_id", "y", "x", "cls"]] for f in frames]
+
+    images, pixels = rasters.from_arrays(spark, {0: np.pad(np.ones((11, 9)), ((3, 6), (2, 9)))})
+    build = LabellingBuilder().set_segmenter(segment.TileModel(model)).set_background_class(0).set_tile_size(10, 10).set_overlap(0)
+    flow = build.set_border_tiles("skip").set_seg_batch_size(3).get()
+    assert flow.seg_batch_size == 3
+    found = flow.process(images, pixels).objects.collect()
+    assert [(r.minx, r.miny, r.maxx, r.maxy) for r in found] == [(2, 3, 11, 14)]
+
+
 def test_a_chain_looks_into_what_it_found(spark):
     """Squares of one grey that hold four brighter ones each."""
     outer = [(y, x) for y in (100, 400) for x in (100, 400, 700)]

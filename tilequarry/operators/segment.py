@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import warnings
 from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -59,6 +60,15 @@ def _tolerant(model: Callable) -> Callable:
     return run
 
 
+@dataclass(frozen=True)
+class TileModel:
+    """A segmenter that looks at whole tiles: ``model`` gets a list of pandas frames, one
+    a tile, and returns a frame (image_id, tile_id, y, x, cls) for each."""
+
+    model: Callable
+    schema: str = "image_id long, tile_id long, y long, x long, cls int"
+
+
 def by_tile(tile_pixels: DataFrame, model: Callable, schema: str) -> DataFrame:
     """A model that needs a tile's neighbourhoods: ``model`` gets each tile's pixels
     as a pandas frame and returns frames of ``schema``.  One tile is in memory.  A tile

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from ..errors import ConflictingParts, MissingPart
 from ..functions.logs import Log, SilentLog
 from ..operators import dispatch
+from ..operators.segment import TileModel
 from ..operators.tiling import Grid
 from .workflow import Chain, Detection, Stage, Workflow, keep_all
 
@@ -26,7 +27,7 @@ class _Builder:
         """Checked only when it is whole: setters may come in any order."""
         return Grid(**self._grid)
 
-    def set_segmenter(self, segmenter: Column | Callable):
+    def set_segmenter(self, segmenter: Column | TileModel | Callable):
         self.segmenter = segmenter
         return self
 
@@ -49,8 +50,8 @@ class _Builder:
         return self
 
     def set_seg_batch_size(self, size: int):
-        """Tiles a model call; the result doesn't depend on it.  Clipped border tiles
-        can't be stacked, so a batch needs another border policy."""
+        """Tiles of a TileModel's call.  Clipped border tiles can't be stacked, so a batch
+        needs another border policy."""
         self.seg_batch_size = size
         return self
 
@@ -100,7 +101,7 @@ class DetectionBuilder(_Builder):
             raise ConflictingParts("rules and a one-shot dispatcher exclude one another")
         if not self.one_shot and not self.rules:
             raise MissingPart("dispatching rules and classifiers")
-        base = {"segmenter": self.segmenter, "grid": self.grid, "tolerance": self.tolerance, "log": self.log, "needs_pixels": self.pixels}
+        base = {"segmenter": self.segmenter, "grid": self.grid, "tolerance": self.tolerance, "log": self.log, "needs_pixels": self.pixels, "seg_batch_size": self.seg_batch_size}
         if self.one_shot:
             dispatcher, by = self.one_shot
             out = Detection(**base, dispatcher=dispatcher, mapping=list(by), classifiers=list(by.values()))
@@ -121,7 +122,7 @@ class LabellingBuilder(_Builder):
 
     def get(self) -> Workflow:
         self._check()
-        out = Workflow(self.segmenter, self.grid, self.tolerance, self.background, True, self.log)
+        out = Workflow(self.segmenter, self.grid, self.tolerance, self.background, True, self.log, seg_batch_size=self.seg_batch_size)
         self._reset()
         return out
 

@@ -32,18 +32,22 @@ class Detected:
 
 @dataclass
 class Workflow:
-    """segmenter: a class expression over v (or a function of tile pixels that
-    returns them with cls, for models that look around)."""
+    """segmenter: a class expression over v, a model of whole tiles, of which
+    ``seg_batch_size`` go into a call, or a function of all tile pixels that returns them
+    with cls."""
 
-    segmenter: Column | Callable[[DataFrame], DataFrame] | None = None
+    segmenter: Column | segment.TileModel | Callable[[DataFrame], DataFrame] | None = None
     grid: tiling.Grid = tiling.Grid()
     tolerance: int = 1
     background: int = -1
     labelled: bool = True
     log: Log = field(default_factory=SilentLog)
     root: str = "workflow.label"
+    seg_batch_size: int = 1
 
     def _segmented(self, tile_pixels: DataFrame) -> DataFrame:
+        if isinstance(self.segmenter, segment.TileModel):
+            return segment.by_batch(tile_pixels, self.segmenter.model, self.segmenter.schema, self.seg_batch_size)
         if callable(self.segmenter):
             return self.segmenter(tile_pixels)
         return segment.semantic(tile_pixels, self.segmenter)
