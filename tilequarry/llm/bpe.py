@@ -43,7 +43,7 @@ from .shingles import powers
 from .tokens import rank_codec, ranks
 
 #: Text bytes of a chunk.
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 6 << 20
 BUCKETS, MAX_BUCKETS = 256, 4096
 _LETTER = np.random.default_rng(20250511).integers(1, 1 << 63, 256, dtype=np.uint64)
 _ZSTD = pa.Codec("zstd")
