@@ -7,6 +7,8 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..tables import shuffle_width, written
+
 
 def catch_all() -> Column:
     return F.lit(True)
@@ -36,15 +38,23 @@ def rule_based(objects: DataFrame, rules: Sequence[Column], labels: Sequence | N
 
 def staged(objects: DataFrame, rules: Sequence[Callable[[DataFrame], DataFrame]], labels: Sequence[str], key: Sequence[str]) -> DataFrame:
     """As rule_based, for costly rules: each gets only the rows no rule before took and
-    returns the keys it takes."""
-    rest, out = objects, None
-    for rule, label in zip(rules, labels):
-        hit = rule(rest).select(*key).distinct()
-        taken = rest.join(hit, list(key), "left_semi").withColumn("dispatch", F.lit(label))
-        out = taken if out is None else out.unionByName(taken)
-        rest = rest.join(hit, list(key), "left_anti")
-    rest = rest.withColumn("dispatch", F.lit(None).cast("string"))
-    return rest if out is None else out.unionByName(rest)
+    returns the keys it takes, which are written.  What rules have taken so far meets the
+    objects in one sort-merge join a rule, dealt to as many partitions as a shuffle has,
+    however many rules there were before.  Rows with null keys are never taken."""
+    dealt = lambda df: df.repartition(shuffle_width(objects.sparkSession), *key)
+    wide = dealt(objects)
+    rest, taken = wide, None
+    for k, rule in enumerate(rules[: len(labels)]):
+        hit = written(rule(rest).select(*key).distinct().withColumn("_route", F.lit(k)), "taken")
+        taken = hit if taken is None else taken.unionByName(hit)
+        rest = wide.join(dealt(taken.select(*key)).hint("merge"), list(key), "left_anti")
+    if taken is None:
+        return objects.withColumn("dispatch", F.lit(None).cast("string"))
+    first = taken.groupBy(*key).agg(F.min("_route").alias("_route"))
+    route = F.lit(None).cast("string")
+    for k, label in enumerate(labels[: len(rules)]):
+        route = F.when(F.col("_route") == k, F.lit(label)).otherwise(route)
+    return wide.join(first.hint("merge"), list(key), "left").select(*objects.columns, route.alias("dispatch"))
 
 
 def indexed(objects: DataFrame, mapping: Sequence | Mapping | None) -> DataFrame:
