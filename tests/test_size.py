@@ -3,7 +3,10 @@ the rules, no broadcast of growing tables, no call a region."""
 
 from __future__ import annotations
 
-from tilequarry.operators import dispatch
+from pyspark.sql import functions as F
+
+from tilequarry.operators import dispatch, locate, merge, tiling
+from tilequarry.plans import workflow
 
 
 def plan(df) -> str:
@@ -17,3 +20,21 @@ def test_staged_rules_do_not_pile_up_joins(spark):
     assert plan(out).count("SortMergeJoin") == 1 and "Broadcast" not in plan(out)
     assert sorted(map(tuple, out.collect()), key=str) == sorted([(1, 9, "a"), (2, 5, "b"), (2, 1, "b"), (3, 1, "c"), (None, 9, None), (4, 0, None)], key=str)
     assert dispatch.staged(rows, [], [], ["id"]).select("dispatch").distinct().collect() == [(None,)]
+
+
+def test_growing_tables_are_not_broadcast(spark):
+    cells = spark.createDataFrame([(1, 1, 0, x, 1) for x in (0, 1, 3)] + [(1, 2, 0, x, 1) for x in (4, 5)], "image_id long, tile_id long, y long, x long, cls int")
+    images = spark.createDataFrame([(1, 8, 1, 1)], "image_id long, width long, height long, channels int")
+    tiles = tiling.tiles(images, tiling.Grid(4, 4, 0))
+    runs = locate.runs(cells, 0)
+    regions = merge.boxes(runs)
+    merged = merge.merge(runs, tiles, 1)
+    near = merge.candidates(regions, tiles, 1)
+    member = merge.objects_of(regions, merge.links(near, runs, 1))
+    wins = spark.createDataFrame([(7, 1, 3, "0", 0, 0, 4, 1)], "window_id long, image_id long, parent long, stage string, off_x long, off_y long, width long, height long")
+    pixels = spark.createDataFrame([(1, 0, 0, 1.0)], "image_id long, y long, x long, v double")
+    cut = workflow.window_rasters(wins, pixels, merged.withColumn("stage", F.lit("0")))[1]
+    for df in (near, member, merge.links(near, runs, 1), merge.object_labels(regions, member), merged, locate.measures(merged, "image_id", "object_id"), cut):
+        assert "Join" in plan(df) and "Broadcast" not in plan(df)
+    found = merged.groupBy("object_id", "label").agg(F.sum(F.col("x1") - F.col("x0")).alias("n")).collect()
+    assert sorted(r.n for r in found) == [2, 3]

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..tables import dealt
+
 
 def take(source: Column, index: Column) -> Column:
     """The elements of array ``source`` at the 0-based positions in array ``index``."""
@@ -48,7 +50,7 @@ def alpha_plane(pixels: DataFrame, cells: DataFrame, *keys: str, opaque: int = 2
     """``pixels`` with alpha: ``opaque`` on the cells of a region, 0 elsewhere.  ``cells``
     is (keys, y, x); an empty region gives zeros everywhere."""
     inside = cells.select(*keys, "y", "x").distinct().withColumn("_in", F.lit(True))
-    return pixels.join(inside, [*keys, "y", "x"], "left").withColumn("alpha", F.when(F.col("_in"), opaque).otherwise(0)).drop("_in")
+    return pixels.join(dealt(inside), [*keys, "y", "x"], "left").withColumn("alpha", F.when(F.col("_in"), opaque).otherwise(0)).drop("_in")
 
 
 def without_outline(cells: DataFrame, *keys: str) -> DataFrame:
@@ -56,4 +58,4 @@ def without_outline(cells: DataFrame, *keys: str) -> DataFrame:
     near = F.explode(F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy, dx in ((0, 1), (0, -1), (1, 0), (-1, 0))]))
     around = cells.select(*keys, "y", "x", near.alias("d")).select(*keys, (F.col("y") + F.col("d.dy")).alias("y"), (F.col("x") + F.col("d.dx")).alias("x"))
     full = around.groupBy(*keys, "y", "x").count().where("count = 4").drop("count")
-    return cells.join(full, [*keys, "y", "x"], "left_semi")
+    return cells.join(dealt(full), [*keys, "y", "x"], "left_semi")

@@ -9,6 +9,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..tables import dealt
+
 
 def covered(runs: DataFrame, reach: int, least: int, *keys: str) -> DataFrame:
     """Runs (keys, y, x0, x1) of the cells that at least ``least`` of the given runs
@@ -76,7 +78,7 @@ def intersected(a: DataFrame, b: DataFrame, *keys: str) -> DataFrame:
     """Runs in both ``a`` (keys, ..., y, x0, x1) and ``b`` (keys, y, x0, x1), with the
     other columns of ``a``."""
     b = b.select(*keys, "y", F.col("x0").alias("b0"), F.col("x1").alias("b1"))
-    both = a.join(b, [*keys, "y"]).where("x0 < b1 AND b0 < x1")
+    both = a.join(dealt(b), [*keys, "y"]).where("x0 < b1 AND b0 < x1")
     return both.withColumns({"x0": F.greatest("x0", "b0"), "x1": F.least("x1", "b1")}).select(a.columns)
 
 
@@ -88,7 +90,7 @@ def composed(windows: DataFrame, child: DataFrame | None, parent: DataFrame | No
     if parent is None:
         return child
     place = windows.select(*keys, "off_x", "off_y", "width", "height")
-    moved = parent.select(*keys, "y", "x0", "x1").join(place, list(keys))
+    moved = parent.select(*keys, "y", "x0", "x1").join(dealt(place), list(keys))
     moved = moved.withColumns({"y": F.col("y") - F.col("off_y"), "x0": F.greatest(F.col("x0") - F.col("off_x"), F.lit(0)), "x1": F.least(F.col("x1") - F.col("off_x"), F.col("width"))})
     moved = moved.where("y >= 0 AND y < height AND x0 < x1").select(*keys, "y", "x0", "x1")
     return moved if child is None else intersected(child.select(*keys, "y", "x0", "x1"), moved, *keys)
@@ -106,12 +108,12 @@ def nearest(pairs: DataFrame | None, runs: DataFrame, within: float, *keys: str)
     reach = math.ceil(within)
     a = runs.select(*keys, F.col("rid").alias("a"), F.col("y").alias("ya"), F.col("x0").alias("a0"), F.col("x1").alias("a1"))
     b = runs.select(*keys, F.col("rid").alias("b"), F.col("y").alias("yb"), F.col("x0").alias("b0"), F.col("x1").alias("b1"))
-    a = a if pairs is None else pairs.select(*keys, "a", "b").distinct().join(a, [*keys, "a"])
+    a = a if pairs is None else pairs.select(*keys, "a", "b").join(dealt(a), [*keys, "a"])
     a = a.withColumn("yb", F.explode(F.sequence(F.col("ya") - reach, F.col("ya") + reach)))
     gap_x = _gap(F.col("a0") - F.col("b1"), F.col("b0") - F.col("a1"))
     gap_y = F.greatest(F.abs(F.col("ya") - F.col("yb")) - 1, F.lit(0))
     square = (gap_x * gap_x + gap_y * gap_y).alias("square")
-    both = a.join(b, [*keys, "yb"]).where("a < b") if pairs is None else a.join(b, [*keys, "b", "yb"])
+    both = a.join(dealt(b), [*keys, "yb"]).where("a < b") if pairs is None else a.join(dealt(b), [*keys, "b", "yb"])
     near = both.select(*keys, "a", "b", square).where(F.col("square") < within * within)
     return near.groupBy(*keys, "a", "b").agg(F.sqrt(F.min("square").cast("double")).alias("distance"))
 

@@ -7,7 +7,7 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..tables import shuffle_width, written
+from ..tables import dealt, shuffle_width, written
 
 
 def catch_all() -> Column:
@@ -41,20 +41,20 @@ def staged(objects: DataFrame, rules: Sequence[Callable[[DataFrame], DataFrame]]
     returns the keys it takes, which are written.  What rules have taken so far meets the
     objects in one sort-merge join a rule, dealt to as many partitions as a shuffle has,
     however many rules there were before.  Rows with null keys are never taken."""
-    dealt = lambda df: df.repartition(shuffle_width(objects.sparkSession), *key)
-    wide = dealt(objects)
+    spread = lambda df: df.repartition(shuffle_width(objects.sparkSession), *key)
+    wide = spread(objects)
     rest, taken = wide, None
     for k, rule in enumerate(rules[: len(labels)]):
         hit = written(rule(rest).select(*key).distinct().withColumn("_route", F.lit(k)), "taken")
         taken = hit if taken is None else taken.unionByName(hit)
-        rest = wide.join(dealt(taken.select(*key)).hint("merge"), list(key), "left_anti")
+        rest = wide.join(dealt(spread(taken.select(*key))), list(key), "left_anti")
     if taken is None:
         return objects.withColumn("dispatch", F.lit(None).cast("string"))
     first = taken.groupBy(*key).agg(F.min("_route").alias("_route"))
     route = F.lit(None).cast("string")
     for k, label in enumerate(labels[: len(rules)]):
         route = F.when(F.col("_route") == k, F.lit(label)).otherwise(route)
-    return wide.join(first.hint("merge"), list(key), "left").select(*objects.columns, route.alias("dispatch"))
+    return wide.join(dealt(first), list(key), "left").select(*objects.columns, route.alias("dispatch"))
 
 
 def indexed(objects: DataFrame, mapping: Sequence | Mapping | None) -> DataFrame:
@@ -105,7 +105,7 @@ def classify_models(objects: DataFrame, models: Sequence[Callable], batch: str =
 def centre_pixel(objects: DataFrame, pixels: DataFrame) -> DataFrame:
     """``objects`` with v, the pixel under the centroid (null if there is none)."""
     at = objects.withColumns({"y": F.floor("cy").cast("long"), "x": F.floor("cx").cast("long")})
-    return at.join(pixels.select("image_id", "y", "x", "v"), ["image_id", "y", "x"], "left").drop("y", "x")
+    return at.join(dealt(pixels.select("image_id", "y", "x", "v")), ["image_id", "y", "x"], "left").drop("y", "x")
 
 
 def zonal(runs: DataFrame, pixels: DataFrame, *keys: str) -> DataFrame:
@@ -113,4 +113,4 @@ def zonal(runs: DataFrame, pixels: DataFrame, *keys: str) -> DataFrame:
     from .merge import cells_of
 
     cells = cells_of(runs.select(*keys, "y", "x0", "x1"))
-    return cells.join(pixels.select("image_id", "y", "x", "v"), ["image_id", "y", "x"]).groupBy(*keys).agg(F.count("v").alias("n"), F.avg("v").alias("mean"), F.min("v").alias("low"), F.max("v").alias("high"))
+    return cells.join(dealt(pixels.select("image_id", "y", "x", "v")), ["image_id", "y", "x"]).groupBy(*keys).agg(F.count("v").alias("n"), F.avg("v").alias("mean"), F.min("v").alias("low"), F.max("v").alias("high"))

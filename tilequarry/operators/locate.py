@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..tables import shuffle_width
+from ..tables import dealt, shuffle_width
 
 RUNS = "image_id long, tile_id long, rid long, label int, y long, x0 long, x1 long"
 #: Regions a tile can number; rid = tile_id * REGIONS + number, so ids sort by tile.
@@ -142,9 +142,9 @@ def measures(runs_df: DataFrame, *keys: str) -> DataFrame:
     keys = keys or ("image_id", "tile_id", "rid")
     width = F.col("x1") - F.col("x0")
     below = runs_df.select(*keys, (F.col("y") - 1).alias("y"), F.col("x0").alias("bx0"), F.col("x1").alias("bx1"))
-    touch = runs_df.join(below, [*keys, "y"]).where("bx0 < x1 AND bx1 > x0").groupBy(*keys).agg(F.sum(F.least("x1", "bx1") - F.greatest("x0", "bx0")).alias("vertical"))
+    touch = runs_df.join(dealt(below), [*keys, "y"]).where("bx0 < x1 AND bx1 > x0").groupBy(*keys).agg(F.sum(F.least("x1", "bx1") - F.greatest("x0", "bx0")).alias("vertical"))
     out = runs_df.groupBy(*keys).agg(F.first("label").alias("label"), F.sum(width).alias("area"), F.sum(width - 1).alias("horizontal"), F.sum(width * (F.col("x0") + F.col("x1")) / 2).alias("sx"), F.sum(width * (F.col("y") + 0.5)).alias("sy"), F.min("x0").alias("minx"), F.min("y").alias("miny"), F.max("x1").alias("maxx"), (F.max("y") + 1).alias("maxy"))
-    out = out.join(touch, list(keys), "left")
+    out = out.join(dealt(touch), list(keys), "left")
     perimeter = 4 * F.col("area") - 2 * (F.col("horizontal") + F.coalesce("vertical", F.lit(0)))
     return out.select(*keys, "label", "area", perimeter.alias("perimeter"), (F.col("sx") / F.col("area")).alias("cx"), (F.col("sy") / F.col("area")).alias("cy"), "minx", "miny", "maxx", "maxy")
 

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.regions import covered, nearest
-from ..tables import components, written
+from ..tables import components, dealt, written
 from .tiling import neighbours
 
 
@@ -28,17 +28,17 @@ def candidates(regions: DataFrame, tiles: DataFrame, tolerance: float, labelled:
     strips along the shared side and lie within the tolerance of one another."""
     if tolerance is None or tolerance < 0:
         raise ValueError("the tolerance must be a number, 0 or more")
-    near = neighbours(tiles)
-    place = tiles.select("image_id", "tile_id", "off_x", "off_y", "tile_w", "tile_h")
-    sides = near.select("image_id", "tile_id", F.explode(F.array(F.struct(F.col("right").alias("other"), F.lit(True).alias("across")), F.struct(F.col("bottom").alias("other"), F.lit(False).alias("across")))).alias("s")).select("image_id", "tile_id", "s.*").where("other IS NOT NULL")
-    far = place.select("image_id", F.col("tile_id").alias("other"), F.col("off_x").alias("ox"), F.col("off_y").alias("oy"), F.col("tile_w").alias("ow"), F.col("tile_h").alias("oh"))
-    sides = sides.join(place, ["image_id", "tile_id"]).join(far, ["image_id", "other"])
+    place = ["off_x", "off_y", "tile_w", "tile_h"]
+    near = neighbours(tiles, *place)
+    sides = near.select("image_id", "tile_id", *place, F.explode(F.array(F.struct(F.col("right").alias("other"), F.lit(True).alias("across")), F.struct(F.col("bottom").alias("other"), F.lit(False).alias("across")))).alias("s")).select("image_id", "tile_id", *place, "s.*").where("other IS NOT NULL")
+    far = tiles.select("image_id", F.col("tile_id").alias("other"), F.col("off_x").alias("ox"), F.col("off_y").alias("oy"), F.col("tile_w").alias("ow"), F.col("tile_h").alias("oh"))
+    sides = sides.join(dealt(far), ["image_id", "other"])
     strip = tolerance + F.when(F.col("across"), F.col("off_x") + F.col("tile_w") - F.col("ox")).otherwise(F.col("off_y") + F.col("tile_h") - F.col("oy"))
     sides = sides.withColumn("strip", strip)
     a = regions.select("image_id", "tile_id", F.col("rid").alias("a"), "label", *[F.col(c).alias(f"a_{c}") for c in ("minx", "miny", "maxx", "maxy")])
     b = regions.select("image_id", F.col("tile_id").alias("other"), F.col("rid").alias("b"), F.col("label").alias("b_label"), *[F.col(c).alias(f"b_{c}") for c in ("minx", "miny", "maxx", "maxy")])
-    a = a.join(sides, ["image_id", "tile_id"]).where(F.when(F.col("across"), F.col("a_maxx") >= F.col("off_x") + F.col("tile_w") - F.col("strip")).otherwise(F.col("a_maxy") >= F.col("off_y") + F.col("tile_h") - F.col("strip")))
-    pairs = a.join(b, ["image_id", "other"])
+    a = a.join(dealt(sides), ["image_id", "tile_id"]).where(F.when(F.col("across"), F.col("a_maxx") >= F.col("off_x") + F.col("tile_w") - F.col("strip")).otherwise(F.col("a_maxy") >= F.col("off_y") + F.col("tile_h") - F.col("strip")))
+    pairs = a.join(dealt(b), ["image_id", "other"])
     pairs = pairs.where(F.when(F.col("across"), F.col("b_minx") <= F.col("ox") + F.col("strip")).otherwise(F.col("b_miny") <= F.col("oy") + F.col("strip")))
     if labelled:
         pairs = pairs.where("label = b_label")
@@ -57,13 +57,13 @@ def objects_of(regions: DataFrame, linked: DataFrame) -> DataFrame:
     node = lambda c: F.struct("image_id", F.col(c).alias("rid"))
     joined = components(linked.select(node("a").alias("a"), node("b").alias("b")), "objects")
     joined = joined.select("node.image_id", "node.rid", F.col("component.rid").alias("object_id"))
-    return regions.select("image_id", "rid").join(joined, ["image_id", "rid"], "left").select("image_id", "rid", F.coalesce("object_id", "rid").alias("object_id"))
+    return regions.select("image_id", "rid").join(dealt(joined), ["image_id", "rid"], "left").select("image_id", "rid", F.coalesce("object_id", "rid").alias("object_id"))
 
 
 def object_labels(regions: DataFrame, membership: DataFrame) -> DataFrame:
     """(image_id, object_id, label, n_regions): the label with the largest summed
     area; of equals the smallest."""
-    by = regions.join(membership, ["image_id", "rid"]).groupBy("image_id", "object_id", "label").agg(F.sum("area").alias("area"), F.count("*").alias("n"))
+    by = regions.join(dealt(membership), ["image_id", "rid"]).groupBy("image_id", "object_id", "label").agg(F.sum("area").alias("area"), F.count("*").alias("n"))
     best = F.max(F.struct("area", (-F.col("label")).alias("label"))).alias("best")
     return by.groupBy("image_id", "object_id").agg(best, F.sum("n").alias("n_regions")).select("image_id", "object_id", (-F.col("best.label")).cast("int").alias("label"), "n_regions")
 
@@ -89,9 +89,7 @@ def merge(runs: DataFrame, tiles: DataFrame, tolerance: float = 1, labelled: boo
     regions = written(boxes(runs), "regions")
     linked = links(candidates(regions, tiles, tolerance, labelled), runs, tolerance)
     member = written(objects_of(regions, linked), "members")
-    labels = object_labels(regions, member)
-    placed = runs.drop("label").join(member, ["image_id", "rid"]).join(labels, ["image_id", "object_id"])
-    single = placed.where("n_regions = 1").select("image_id", "object_id", "y", "x0", "x1")
-    several = closed(placed.where("n_regions > 1").select("image_id", "object_id", "y", "x0", "x1"), tolerance, "image_id", "object_id")
-    out = single.unionByName(several.select("image_id", "object_id", "y", "x0", "x1"))
-    return out.join(labels.select("image_id", "object_id", "label"), ["image_id", "object_id"])
+    member = written(member.join(dealt(object_labels(regions, member)), ["image_id", "object_id"]), "labels")
+    placed = runs.drop("label").join(dealt(member), ["image_id", "rid"]).select("image_id", "object_id", "label", "n_regions", "y", "x0", "x1")
+    single = placed.where("n_regions = 1").drop("n_regions")
+    return single.unionByName(closed(placed.where("n_regions > 1"), tolerance, "image_id", "object_id", "label"))

@@ -78,10 +78,11 @@ def check_ids(tile_ids: DataFrame, images: DataFrame, grid: Grid) -> DataFrame:
     return tile_ids.join(counts(images, grid), "image_id").where("tile_id < 1 OR tile_id > n_tiles").select("image_id", "tile_id")
 
 
-def neighbours(tiles_df: DataFrame) -> DataFrame:
-    """(image_id, tile_id, top, bottom, left, right), null at a border."""
+def neighbours(tiles_df: DataFrame, *more: str) -> DataFrame:
+    """(image_id, tile_id, top, bottom, left, right), null at a border, and the columns
+    ``more``."""
     t, n = F.col("tile_id"), F.col("n_cols")
-    return tiles_df.select("image_id", "tile_id", F.when(F.col("row") > 0, t - n).alias("top"), F.when(F.col("row") < F.col("n_rows") - 1, t + n).alias("bottom"), F.when(F.col("col") > 0, t - 1).alias("left"), F.when(F.col("col") < n - 1, t + 1).alias("right"))
+    return tiles_df.select("image_id", "tile_id", F.when(F.col("row") > 0, t - n).alias("top"), F.when(F.col("row") < F.col("n_rows") - 1, t + n).alias("bottom"), F.when(F.col("col") > 0, t - 1).alias("left"), F.when(F.col("col") < n - 1, t + 1).alias("right"), *more)
 
 
 def batches(tiles_df: DataFrame, n: int) -> DataFrame:

@@ -9,6 +9,7 @@ from ..errors import TileReadError
 from ..functions import arrays, geometry, regions, timing
 from ..operators import dispatch, locate, merge, segment, tiling
 from ..sources import rasters
+from ..tables import dealt
 from . import workflow as wf
 from .builder import ChainBuilder, DetectionBuilder, LabellingBuilder
 
@@ -223,7 +224,7 @@ def slice_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def locate_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     runs = _whole(spark, sf_dir)
     roots = runs.groupBy("image_id", "rid").agg(root().alias("root"))
-    return merge.cells_of(runs.join(roots, ["image_id", "rid"]).select("image_id", "root", "y", "x0", "x1"))
+    return merge.cells_of(runs.join(dealt(roots), ["image_id", "rid"]).select("image_id", "root", "y", "x0", "x1"))
 
 
 @query(CELLS + " SELECT image_id, tile_id, cls, root, count(*) AS area FROM lab GROUP BY ALL")
@@ -285,7 +286,7 @@ def region_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = runs.groupBy("image_id", "rid").agg(root().alias("root"))
     near = regions.nearest(None, runs, 2.5, "image_id")
     for c in ("a", "b"):
-        near = near.join(names.select("image_id", F.col("rid").alias(c), F.col("root").alias(f"root_{c}")), ["image_id", c])
+        near = near.join(dealt(names.select("image_id", F.col("rid").alias(c), F.col("root").alias(f"root_{c}"))), ["image_id", c])
     return near.select("image_id", F.least("root_a", "root_b").alias("root_a"), F.greatest("root_a", "root_b").alias("root_b"), F.round("distance", 9).alias("distance"))
 
 
@@ -294,7 +295,7 @@ def region_buffer(spark: SparkSession, sf_dir: str) -> DataFrame:
     runs = _whole(spark, sf_dir)
     roots = runs.groupBy("image_id", "rid").agg(root().alias("root"))
     wide = regions.dilated(runs, 2, "image_id", "rid").groupBy("image_id", "rid").agg(F.sum(F.col("x1") - F.col("x0")).alias("area"))
-    return wide.join(roots, ["image_id", "rid"]).select("image_id", "root", "area")
+    return wide.join(dealt(roots), ["image_id", "rid"]).select("image_id", "root", "area")
 
 
 @query(f"WITH {EMB} SELECT image_id, count(*) FILTER (WHERE v > 0.1) = count(*) FILTER (WHERE v > 0.1 AND v < 0.25) AS same FROM emb8 GROUP BY 1 HAVING count(*) FILTER (WHERE v > 0.1) > 0")
@@ -323,7 +324,7 @@ def _rooted(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 def _named(pairs: DataFrame, names: DataFrame) -> DataFrame:
     for c in ("a", "b"):
-        pairs = pairs.join(names.select("image_id", F.col("rid").alias(c), F.col("node").alias(f"node_{c}")), ["image_id", c])
+        pairs = pairs.join(dealt(names.select("image_id", F.col("rid").alias(c), F.col("node").alias(f"node_{c}"))), ["image_id", c])
     return pairs.select("image_id", "node_a", "node_b")
 
 
@@ -348,7 +349,7 @@ def merge_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     regions = merge.boxes(runs)
     member = merge.objects_of(regions, merge.links(merge.candidates(regions, _tiles(spark, sf_dir), 1), runs, 1))
     top = names.select("image_id", F.col("rid").alias("object_id"), F.col("node").alias("object"))
-    return member.join(names, ["image_id", "rid"]).join(top, ["image_id", "object_id"]).select("image_id", "node", "object")
+    return member.join(dealt(names), ["image_id", "rid"]).join(dealt(top), ["image_id", "object_id"]).select("image_id", "node", "object")
 
 
 SUMS = ", area AS (SELECT o.image_id, o.object, l.cls % 2 AS label, count(*) AS area FROM obj o JOIN lab l ON l.image_id = o.image_id AND l.tile_id * 100 + l.root = o.id GROUP BY ALL), best AS (SELECT *, row_number() OVER (PARTITION BY image_id, object ORDER BY area DESC, label) AS k FROM area)"
@@ -362,7 +363,7 @@ def merge_label(spark: SparkSession, sf_dir: str) -> DataFrame:
     regions = merge.boxes(runs).withColumn("label", F.col("label") % 2)
     member = merge.objects_of(regions, merge.links(merge.candidates(regions, _tiles(spark, sf_dir), 1, labelled=False), runs, 1))
     top = names.select("image_id", F.col("rid").alias("object_id"), F.col("node").alias("object"))
-    return merge.object_labels(regions, member).join(top, ["image_id", "object_id"]).select("image_id", "object", "label")
+    return merge.object_labels(regions, member).join(dealt(top), ["image_id", "object_id"]).select("image_id", "object", "label")
 
 
 CLOSE = ", own AS (SELECT DISTINCT o.image_id, o.object, l.cls, l.y, l.x FROM obj o JOIN lab l ON l.image_id = o.image_id AND l.tile_id * 100 + l.root = o.id), n AS (SELECT image_id, object, count(*) AS n FROM obj GROUP BY ALL), wide AS (SELECT DISTINCT own.image_id, own.object, cls, y + dy AS y, x + dx AS x FROM own JOIN n ON n.image_id = own.image_id AND n.object = own.object AND n > 1, range(-1, 2) a(dy), range(-1, 2) b(dx)), shut AS (SELECT image_id, object, cls, y + dy AS y, x + dx AS x FROM wide, range(-1, 2) a(dy), range(-1, 2) b(dx) GROUP BY ALL HAVING count(*) = 9), done AS (SELECT * FROM shut UNION ALL SELECT own.* FROM own JOIN n ON n.image_id = own.image_id AND n.object = own.object AND n = 1)"
@@ -446,7 +447,7 @@ def classify_zonal(spark: SparkSession, sf_dir: str) -> DataFrame:
     runs = _whole(spark, sf_dir)
     roots = runs.groupBy("image_id", "rid").agg(root().alias("root"))
     stats = dispatch.zonal(runs, rasters.emb8(spark, sf_dir)[1], "image_id", "rid")
-    return stats.join(roots, ["image_id", "rid"]).select("image_id", "root", "n", F.round("mean", 9).alias("mean"), "low", "high")
+    return stats.join(dealt(roots), ["image_id", "rid"]).select("image_id", "root", "n", F.round("mean", 9).alias("mean"), "low", "high")
 
 
 # --- workflows and chains ---------------------------------------------------------

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from ..functions.logs import Log, SilentLog
 from ..functions.timing import Timings
 from ..operators import dispatch, locate, merge, segment, tiling
-from ..tables import written
+from ..tables import dealt, written
 
 
 @dataclass
@@ -132,8 +132,8 @@ class Chain:
             part_images, part_pixels = window_rasters(wins, pixels, runs if stage.masked else None)
             part = stage.workflow.process(part_images, part_pixels)
             back = wins.select(F.col("window_id").alias("image_id"), F.col("image_id").alias("base"), F.col("parent").alias("parent_object_id"), "off_x", "off_y")
-            one = _translated(part.objects.join(back, "image_id"), stage.translate, ("minx", "maxx", "cx"), ("miny", "maxy", "cy"))
-            moved = _translated(part.runs.join(back, "image_id"), stage.translate, ("x0", "x1"), ("y",))
+            one = _translated(part.objects.join(dealt(back), "image_id"), stage.translate, ("minx", "maxx", "cx"), ("miny", "maxy", "cy"))
+            moved = _translated(part.runs.join(dealt(back), "image_id"), stage.translate, ("x0", "x1"), ("y",))
             objects = written(objects.unionByName(tag(one, k, name), allowMissingColumns=True), "stage-objects")
             runs = written(runs.unionByName(tag(moved.drop("parent_object_id"), k, name), allowMissingColumns=True), "stage-runs")
         return objects
@@ -160,10 +160,10 @@ def window_rasters(wins: DataFrame, pixels: DataFrame, runs: DataFrame | None, b
     span = lambda at, size: F.explode(F.sequence(F.floor(at / bin), F.floor((at + size - 1) / bin)))
     keyed = wins.withColumn("bx", span(F.col("off_x"), F.col("width"))).withColumn("by", span(F.col("off_y"), F.col("height")))
     cells = pixels.withColumns({"bx": F.floor(F.col("x") / bin), "by": F.floor(F.col("y") / bin)})
-    part = cells.join(keyed, ["image_id", "bx", "by"]).where("x >= off_x AND x < off_x + width AND y >= off_y AND y < off_y + height")
+    part = cells.join(dealt(keyed), ["image_id", "bx", "by"]).where("x >= off_x AND x < off_x + width AND y >= off_y AND y < off_y + height")
     if runs is not None:
         mask = merge.cells_of(runs.select("image_id", "stage", F.col("object_id").alias("parent"), "y", "x0", "x1"))
-        part = part.join(mask, ["image_id", "stage", "parent", "y", "x"], "left_semi")
+        part = part.join(dealt(mask), ["image_id", "stage", "parent", "y", "x"], "left_semi")
     kept = [c for c in pixels.columns if c not in ("image_id", "x", "y")]
     part = part.select(F.col("window_id").alias("image_id"), (F.col("y") - F.col("off_y")).alias("y"), (F.col("x") - F.col("off_x")).alias("x"), *kept)
     return images, part

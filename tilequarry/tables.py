@@ -64,6 +64,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """``df`` for a join that deals both sides out and merges them, whatever their sizes
+    are thought to be: those of compressed tables, exploded rows and Python functions are
+    put far too low, and what is broadcast goes through the driver."""
+    return df.hint("merge")
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
@@ -128,7 +135,7 @@ def components(links: DataFrame, name: str = "components", one_task: int = ONE_T
             took = both.groupBy("node").agg(F.min_by("y", rank("y")).alias("y")).select("node", F.when(rank("y") < rank("node"), F.col("y")).otherwise(F.col("node")).alias("up"))
         rounds.append(_stored(took, f"{name}-{k}"))
         names = rounds[-1][1]
-        ends = edges.join(names.select(F.col("node").alias("a"), F.col("up").alias("p")), "a").join(names.select(F.col("node").alias("b"), F.col("up").alias("q")), "b")
+        ends = edges.join(dealt(names.select(F.col("node").alias("a"), F.col("up").alias("p"))), "a").join(dealt(names.select(F.col("node").alias("b"), F.col("up").alias("q"))), "b")
         after, left = _stored(ends.where("p <> q").select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct(), f"{name}-links")
         delete(spark, path)
         path, edges = after, left
@@ -140,12 +147,12 @@ def components(links: DataFrame, name: str = "components", one_task: int = ONE_T
         return top.select("node", F.col("up").alias("component"))
     while rounds:
         lower, names = rounds.pop()
-        resolved = names.join(top.select(F.col("node").alias("up"), F.col("up").alias("over")), "up", "left")
+        resolved = names.join(dealt(top.select(F.col("node").alias("up"), F.col("up").alias("over"))), "up", "left")
         after, above = _stored(resolved.select("node", F.coalesce("over", "up").alias("up")), f"{name}-names")
         delete(spark, path)
         delete(spark, lower)
         path, top = after, above
     least = top.groupBy("up").agg(F.min("node").alias("component"))
-    out = written(top.join(least, "up").select("node", "component"), name)
+    out = written(top.join(dealt(least), "up").select("node", "component"), name)
     delete(spark, path)
     return out
