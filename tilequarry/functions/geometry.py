@@ -3,11 +3,18 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from ..tables import shuffle_width
+
+#: Outlines of regions of that many runs are kept for others of the same shape.
+SMALL_RUNS = 12
+
 
 def rings(runs: list[tuple[int, int, int]]) -> list[list[tuple[int, int]]]:
     """Closed corner rings of runs (y, x0, x1): outlines clockwise on the screen,
@@ -19,27 +26,27 @@ def rings(runs: list[tuple[int, int, int]]) -> list[list[tuple[int, int]]]:
             if (oy, ox) not in cells:
                 edges.setdefault(a, []).append(b)
     out = []
-    while edges:
-        start = min(edges)
-        at, ring, heading = start, [start], None
-        while True:
-            options = edges[at]
-            if heading is not None and len(options) > 1:  # turn right: stay with the same cell
-                options.sort(key=lambda b: -(heading[0] * (b[1] - at[1]) - heading[1] * (b[0] - at[0])))
-            to = options.pop(0)
-            if not options:
-                del edges[at]
-            step = (to[0] - at[0], to[1] - at[1])
-            if step == heading:
-                ring[-1] = to
-            else:
-                ring.append(to)
-            at, heading = to, step
-            if at == start:
-                break
-        if len(ring) > 3 and (ring[1][0] - ring[0][0]) * (ring[-1][1] - ring[-2][1]) == (ring[1][1] - ring[0][1]) * (ring[-1][0] - ring[-2][0]):
-            ring = [*ring[1:-1], ring[1]]
-        out.append(ring)
+    for start in sorted(edges):
+        while start in edges:
+            at, ring, heading = start, [start], None
+            while True:
+                options = edges[at]
+                if heading is not None and len(options) > 1:  # turn right: stay with the same cell
+                    options.sort(key=lambda b: -(heading[0] * (b[1] - at[1]) - heading[1] * (b[0] - at[0])))
+                to = options.pop(0)
+                if not options:
+                    del edges[at]
+                step = (to[0] - at[0], to[1] - at[1])
+                if step == heading:
+                    ring[-1] = to
+                else:
+                    ring.append(to)
+                at, heading = to, step
+                if at == start:
+                    break
+            if len(ring) > 3 and (ring[1][0] - ring[0][0]) * (ring[-1][1] - ring[-2][1]) == (ring[1][1] - ring[0][1]) * (ring[-1][0] - ring[-2][0]):
+                ring = [*ring[1:-1], ring[1]]
+            out.append(ring)
     return out
 
 
@@ -47,8 +54,8 @@ def signed_area(ring: list[tuple[int, int]]) -> float:
     return sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(ring, ring[1:])) / 2
 
 
-def wkt(runs: list[tuple[int, int, int]]) -> str:
-    """POLYGON or MULTIPOLYGON of a region."""
+def polygons(runs: list[tuple[int, int, int]]) -> list[list[list[tuple[int, int]]]]:
+    """Shells of a region, each with its holes."""
     found = rings(runs)
     shells = [r for r in found if signed_area(r) > 0]
     holes = [r for r in found if signed_area(r) < 0]
@@ -56,7 +63,16 @@ def wkt(runs: list[tuple[int, int, int]]) -> str:
     for hole in holes:
         inside = [p for p in parts if _covers(p[0], hole)]
         (min(inside, key=lambda p: signed_area(p[0])) if inside else parts[0]).append(hole)
-    text = ["(" + ", ".join("(" + ", ".join(f"{x} {y}" for x, y in ring) + ")" for ring in part) + ")" for part in parts]
+    return parts
+
+
+def wkt(runs: list[tuple[int, int, int]]) -> str:
+    """POLYGON or MULTIPOLYGON of a region."""
+    return _text(polygons(runs), 0, 0)
+
+
+def _text(parts: list[list[list[tuple[int, int]]]], dx: int, dy: int) -> str:
+    text = ["(" + ", ".join("(" + ", ".join(f"{x + dx} {y + dy}" for x, y in ring) + ")" for ring in part) + ")" for part in parts]
     return f"POLYGON {text[0]}" if len(text) == 1 else f"MULTIPOLYGON ({', '.join(text)})" if text else "POLYGON EMPTY"
 
 
@@ -91,19 +107,54 @@ def hull(points: np.ndarray) -> np.ndarray:
 def circularity(runs: list[tuple[int, int, int]]) -> float:
     """4 pi area / perimeter squared of the convex hull: near 1 for discs, pi / 4 for
     squares, whatever the staircase of their pixels."""
-    corners = np.array([(x, y + d) for y, a, b in runs for x in (a, b) for d in (0, 1)])
-    h = hull(np.unique(corners, axis=0))
+    h = hull(np.array(list({(x, y + d) for y, a, b in runs for x in (a, b) for d in (0, 1)})))
     step = np.roll(h, -1, axis=0) - h
     area = abs(float((h[:, 0] * np.roll(h[:, 1], -1) - np.roll(h[:, 0], -1) * h[:, 1]).sum())) / 2
     return 4 * math.pi * area / float(np.hypot(step[:, 0], step[:, 1]).sum()) ** 2
 
 
-def shapes(runs: DataFrame, *keys: str) -> DataFrame:
-    """(keys, wkt, circularity) of each region; one region is in memory at a time."""
-    kinds = ", ".join(f"`{k}` {runs.schema[k].dataType.simpleString()}" for k in keys)
+def _shape(runs: tuple[tuple[int, int, int], ...]) -> tuple[list, float]:
+    return polygons(runs), circularity(runs)
+
 
-    def shape(frame: pd.DataFrame) -> pd.DataFrame:
-        own = list(frame[["y", "x0", "x1"]].itertuples(index=False, name=None))
-        return pd.DataFrame([{**{k: frame[k].iloc[0] for k in keys}, "wkt": wkt(own), "circularity": circularity(own)}])
+_known = lru_cache(maxsize=1 << 15)(_shape)
 
-    return runs.select(*keys, "y", "x0", "x1").groupBy(*keys).applyInPandas(shape, f"{kinds}, wkt string, circularity double")
+
+def shape(runs: list[tuple[int, int, int]]) -> tuple[str, float]:
+    """(wkt, circularity).  Both are found with the region moved to the origin, so that
+    small regions of one shape share the work."""
+    dy, dx = min(r[0] for r in runs), min(r[1] for r in runs)
+    own = tuple((y - dy, a - dx, b - dx) for y, a, b in runs)
+    parts, round_ = (_known if len(own) <= SMALL_RUNS else _shape)(own)
+    return _text(parts, dx, dy), round_
+
+
+def shapes(runs: DataFrame, *keys: str) -> DataFrame:
+    """(keys, wkt, circularity) of each region; one region and a batch of rows are in
+    memory at a time."""
+    schema = ", ".join([*(f"`{k}` {runs.schema[k].dataType.simpleString()}" for k in keys), "wkt string, circularity double"])
+    names = [*keys, "wkt", "circularity"]
+
+    def outlined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, own, kinds = None, [], None
+
+        def emitted(rows: list[tuple]) -> pa.RecordBatch:
+            columns = list(zip(*rows))
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [*kinds, pa.string(), pa.float64()])], names)
+
+        for batch in batches:
+            kinds, rows = [batch.schema.field(k).type for k in keys], []
+            at = zip(*(batch.column(k).to_pylist() for k in keys)) if keys else [()] * batch.num_rows
+            for k, run in zip(at, zip(*(batch.column(c).to_pylist() for c in ("y", "x0", "x1")))):
+                if k != key:
+                    if own:
+                        rows.append((*key, *shape(own)))
+                    key, own = k, []
+                own.append(run)
+            if rows:
+                yield emitted(rows)
+        if own:
+            yield emitted([(*key, *shape(own))])
+
+    rows = runs.select(*keys, "y", "x0", "x1").repartition(shuffle_width(runs.sparkSession) if keys else 1, *keys)
+    return rows.sortWithinPartitions(*keys, "y", "x0").mapInArrow(outlined, schema)
