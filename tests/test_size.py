@@ -3,9 +3,14 @@ the rules, no broadcast of growing tables, no call a region."""
 
 from __future__ import annotations
 
+import random
+
+import pytest
 from pyspark.sql import functions as F
 
-from tilequarry.operators import dispatch, locate, merge, tiling
+from tilequarry.errors import TileReadError
+from tilequarry.functions import geometry
+from tilequarry.operators import dispatch, locate, merge, segment, tiling
 from tilequarry.plans import workflow
 
 
@@ -38,3 +43,36 @@ def test_growing_tables_are_not_broadcast(spark):
         assert "Join" in plan(df) and "Broadcast" not in plan(df)
     found = merged.groupBy("object_id", "label").agg(F.sum(F.col("x1") - F.col("x0")).alias("n")).collect()
     assert sorted(r.n for r in found) == [2, 3]
+
+
+@pytest.fixture
+def short_batches(spark):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    yield
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_outlines_without_a_call_a_region(spark, short_batches):
+    draw = random.Random(5)
+    own = {(i, r): sorted((y, x, x + 1) for y in range(5) for x in range(0, 9, 2) if (y, x) == (0, 0) or draw.random() < 0.5) for i in (1, 2, 3) for r in range(4)}
+    runs = spark.createDataFrame([(*k, y + k[1], a + k[0], b + k[0]) for k, rs in own.items() for y, a, b in rs], "image_id long, rid long, y long, x0 long, x1 long")
+    out = geometry.shapes(runs, "image_id", "rid")
+    moved = {k: [(y + k[1], a + k[0], b + k[0]) for y, a, b in rs] for k, rs in own.items()}
+    assert sorted(map(tuple, out.collect())) == sorted((*k, geometry.wkt(rs), geometry.circularity(rs)) for k, rs in moved.items())
+    assert "Groups" not in plan(out)
+
+
+@pytest.mark.parametrize("size", [1, 2])
+def test_models_without_a_task_call_a_tile(spark, short_batches, size):
+    rows = [(i, t, 0, x, float(i + t + x)) for i in (1, 2) for t in range(1, 6) for x in range(t * 3)]
+
+    def model(frames):
+        if any(f.image_id.iloc[0] == 2 and f.tile_id.iloc[0] == 3 for f in frames):
+            raise TileReadError("third")
+        assert len(frames) <= size and all(f.tile_id.nunique() == 1 and list(f.index) == list(range(len(f))) for f in frames if size == 1)
+        return [f.assign(cls=len(f))[["image_id", "tile_id", "y", "x", "cls"]] for f in frames]
+
+    tiles = spark.createDataFrame(rows, "image_id long, tile_id long, y long, x long, v double")
+    out = segment.by_batch(tiles, model, "image_id long, tile_id long, y long, x long, cls int", size)
+    assert sorted(map(tuple, out.collect())) == sorted((i, t, y, x, t * 3) for i, t, y, x, _ in rows if (i, t) != (2, 3))
+    assert "Groups" not in plan(out)

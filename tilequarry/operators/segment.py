@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import warnings
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import TileReadError
+from ..tables import shuffle_width
 
 
 def semantic(pixels: DataFrame, rule: Column) -> DataFrame:
@@ -83,7 +85,7 @@ def by_batch(tile_pixels: DataFrame, model: Callable, schema: str, size: int) ->
     names = [c.split()[0].strip("`") for c in schema.split(",")]
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frames = [f for _, f in frame.groupby("tile_id", sort=True)]
+        frames = [f for _, f in frame.groupby("tile_id", sort=True)] if size > 1 else [frame]
         try:
             found = model(frames)
         except TileReadError:
@@ -91,5 +93,32 @@ def by_batch(tile_pixels: DataFrame, model: Callable, schema: str, size: int) ->
         found = [f for f in found if f is not None and len(f)]
         return pd.concat(found, ignore_index=True) if found else pd.DataFrame(columns=names)
 
-    calls = tile_pixels.withColumn("call", F.expr(f"(tile_id - 1) div {int(size)}"))
-    return calls.groupBy("image_id", "call").applyInPandas(lambda f: run(f.drop(columns="call")), schema)
+    def called(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Runs of the rows of a call, which follow one another."""
+        held: list[pd.DataFrame] = []
+        for frame in frames:
+            if not len(frame):
+                continue
+            key = frame[["image_id", "call"]]
+            if held:
+                last = held[-1][["image_id", "call"]].iloc[-1]
+                key = pd.concat([last.to_frame().T.astype(key.dtypes), key])
+            before = key.shift()
+            fresh = ((key != before) & ~(key.isna() & before.isna())).any(axis=1).to_numpy()[1 if held else 0 :]
+            cuts = np.flatnonzero(fresh)
+            frame = frame.reset_index(drop=True)
+            out = []
+            if len(cuts) and held:
+                out.append(run(pd.concat([*held, frame.iloc[: cuts[0]]], ignore_index=True).drop(columns="call")))
+                held = []
+            whole = frame.drop(columns="call")
+            out += [run(whole.iloc[a:b].reset_index(drop=True)) for a, b in zip(cuts[:-1], cuts[1:])]
+            held.append(frame.iloc[cuts[-1] :] if len(cuts) else frame)
+            out = [f for f in out if len(f)]
+            if out:
+                yield pd.concat(out, ignore_index=True)
+        if held:
+            yield run(pd.concat(held, ignore_index=True).drop(columns="call"))
+
+    calls = tile_pixels.withColumn("call", F.expr(f"(tile_id - 1) div {int(size)}")).repartition(shuffle_width(tile_pixels.sparkSession), "image_id", "call")
+    return calls.sortWithinPartitions("image_id", "call", "tile_id").mapInPandas(called, schema)
