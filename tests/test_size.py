@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tilequarry.errors import TileReadError
-from tilequarry.functions import geometry
+from tilequarry.functions import geometry, regions
 from tilequarry.operators import dispatch, locate, merge, segment, tiling
 from tilequarry.plans import workflow
 
@@ -76,3 +76,11 @@ def test_models_without_a_task_call_a_tile(spark, short_batches, size):
     out = segment.by_batch(tiles, model, "image_id long, tile_id long, y long, x long, cls int", size)
     assert sorted(map(tuple, out.collect())) == sorted((i, t, y, x, t * 3) for i, t, y, x, _ in rows if (i, t) != (2, 3))
     assert "Groups" not in plan(out)
+
+
+def test_polygons_are_dealt_to_all_partitions(spark):
+    square = [[{"x": 0.0, "y": 0.0}, {"x": 3.0, "y": 0.0}, {"x": 3.0, "y": 3.0}, {"x": 0.0, "y": 3.0}]]
+    polygons = spark.createDataFrame([(k, square) for k in range(5)], "image_id long, rings array<array<struct<x: double, y: double>>>")
+    out = regions.from_polygons(polygons, "image_id", fill_holes=True)
+    assert out.count() == 15 and plan(out).split("Initial Plan")[-1].count("Exchange hashpartitioning") == 2
+    assert plan(out).split("Initial Plan")[-1].count("REPARTITION_BY_NUM") == 2  # else a few tasks hold all

@@ -9,7 +9,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..tables import dealt
+from ..tables import dealt, shuffle_width
 
 
 def covered(runs: DataFrame, reach: int, least: int, *keys: str) -> DataFrame:
@@ -17,7 +17,8 @@ def covered(runs: DataFrame, reach: int, least: int, *keys: str) -> DataFrame:
     cover, each of which counts in its own row and ``reach`` rows up and down."""
     at = runs.select(*keys, F.explode(F.sequence(F.col("y") - reach, F.col("y") + reach)).alias("y"), "x0", "x1")
     ends = F.explode(F.array(F.struct(F.col("x0").alias("x"), F.lit(1).alias("d")), F.struct(F.col("x1").alias("x"), F.lit(-1).alias("d")))).alias("e")
-    ends = at.select(*keys, "y", ends).groupBy(*keys, "y", "e.x").agg(F.sum("e.d").alias("d")).where("d <> 0")
+    ends = at.select(*keys, "y", ends).repartition(shuffle_width(runs.sparkSession), *keys, "y")  # a row's ends once for the sums and the order
+    ends = ends.select(*keys, "y", F.col("e.x").alias("x"), F.col("e.d").alias("d")).groupBy(*keys, "y", "x").agg(F.sum("d").alias("d")).where("d <> 0")
     row = Window.partitionBy(*keys, "y").orderBy("x")
     inside = F.sum("d").over(row.rowsBetween(Window.unboundedPreceding, 0)) >= least
     turns = ends.select(*keys, "y", "x", inside.alias("inside")).withColumn("before", F.lag("inside", 1, False).over(row)).where("inside <> before")
@@ -48,6 +49,7 @@ def from_polygons(polygons: DataFrame, *keys: str, fill_holes: bool = False) ->
     hit = side.withColumn("y", F.explode(F.sequence("first", "last"))).withColumn("x", F.col("ax") + (F.col("y") + 0.5 - F.col("ay")) * (F.col("bx") - F.col("ax")) / (F.col("by") - F.col("ay")))
     own = [*keys, "ring"] if fill_holes else list(keys)
     row = Window.partitionBy(*own, "y").orderBy("x")
+    hit = hit.select(*own, "y", "x").repartition(shuffle_width(polygons.sparkSession), *own, "y")
     pair = hit.select(*own, "y", "x", F.row_number().over(row).alias("k"), F.lead("x").over(row).alias("to")).where("k % 2 = 1")
     runs = pair.select(*keys, "y", F.ceil(F.col("x") - 0.5).alias("x0"), F.ceil(F.col("to") - 0.5).alias("x1")).where("x0 < x1")
     return covered(runs, 0, 1, *keys)
