@@ -5,12 +5,14 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tilequarry import tables
 from tilequarry.errors import TileReadError
 from tilequarry.functions import geometry, regions
-from tilequarry.operators import dispatch, locate, merge, segment, tiling
+from tilequarry.operators import dispatch, locate, merge, segment, tiling, whole
 from tilequarry.plans import workflow
 
 
@@ -84,3 +86,53 @@ def test_polygons_are_dealt_to_all_partitions(spark):
     out = regions.from_polygons(polygons, "image_id", fill_holes=True)
     assert out.count() == 15 and plan(out).split("Initial Plan")[-1].count("Exchange hashpartitioning") == 2
     assert plan(out).split("Initial Plan")[-1].count("REPARTITION_BY_NUM") == 2  # else a few tasks hold all
+
+
+def _drawn(images: int, seed: int):
+    """Random cells in tiles of 6 x 5 that share 2 columns and rows, of images of two sizes."""
+    draw = random.Random(seed)
+    sizes = {i: (draw.choice([5, 17]), draw.choice([4, 14])) for i in range(images)}
+    cells = [(i, y, x, draw.choice([0, 0, 0, 1, 1, 2])) for i, (w, h) in sizes.items() for y in range(h) for x in range(w)]
+    return [(i, w, h, 1) for i, (w, h) in sizes.items()], cells
+
+
+@pytest.mark.parametrize(("tolerance", "labelled"), [(0, True), (1, True), (2.5, False)])
+def test_whole_images_merge_as_by_joins(spark, short_batches, tolerance, labelled, monkeypatch):
+    sizes, cells = _drawn(12, 3)
+    images = spark.createDataFrame(sizes, "image_id long, width long, height long, channels int")
+    pixels = spark.createDataFrame(cells, "image_id long, y long, x long, cls int")
+    grid = tiling.Grid(6, 5, 2)
+    tiles = tiling.tiles(images, grid)
+    runs = locate.runs(tiling.tile_pixels(images, pixels, grid), 0).localCheckpoint()
+    runs = runs if labelled else runs.withColumn("label", F.expr("nullif(rid % 3, 2)").cast("int"))
+    rows = lambda df: sorted(map(tuple, df.collect()), key=str)
+    joined = merge.merge_by_joins(runs, tiles, tolerance, labelled)
+    monkeypatch.setattr(whole, "BATCH", 40)
+    for one_task in (1 << 19, 150):
+        found = merge.merge(runs, tiles, tolerance, labelled, one_task)
+        assert rows(found) == rows(joined) and found.schema == joined.schema
+    assert joined.select("image_id").distinct().count() == 12
+
+
+def test_small_images_are_merged_without_a_join_of_runs(spark):
+    sizes, cells = _drawn(12, 3)
+    images = spark.createDataFrame(sizes, "image_id long, width long, height long, channels int")
+    runs = locate.runs(spark.createDataFrame(cells, "image_id long, y long, x long, cls int").withColumn("tile_id", F.lit(1).cast("long")), 0)
+    before = len(tables._kept.get(spark.sparkContext.applicationId, []))
+    out = merge.merge(runs, tiling.tiles(images, tiling.Grid(20, 20, 2)), 1)
+    assert len(tables._kept[spark.sparkContext.applicationId]) == before + 1
+    assert plan(out).split("Initial Plan")[-1].count("SortMergeJoin") == 1
+    assert plan(out).split("Initial Plan")[-1].count("REPARTITION_BY_NUM") == 1
+
+
+@pytest.mark.parametrize("tolerance", [1, 2.5])
+def test_runs_that_meet_are_found_in_parts(tolerance, monkeypatch):
+    draw = np.random.default_rng(4)
+    side = lambda n: [draw.integers(0, 9, n), draw.integers(0, 2, n), draw.integers(0, 2, n), draw.integers(-5, 8, n), draw.integers(-9, 30, n)]
+    a, b = ([*c, c[4] + draw.integers(1, 9, len(c[0]))] for c in (side(60), side(70)))
+    gap = lambda p, q: max(p[4] - q[5], q[4] - p[5], 0) ** 2 + max(abs(p[3] - q[3]) - 1, 0) ** 2
+    for labelled in (True, False):
+        near = {(p[0], q[0]) for p in zip(*a) for q in zip(*b) if p[1] == q[1] and (p[2] == q[2] or not labelled) and gap(p, q) < tolerance**2}
+        for pairs in (7, 1 << 20):
+            monkeypatch.setattr(whole, "PAIRS", pairs)
+            assert {tuple(r) for part in whole._met(a, b, tolerance, labelled) for r in part} == near

@@ -21,6 +21,22 @@ RUNS = "image_id long, tile_id long, rid long, label int, y long, x0 long, x1 lo
 REGIONS = 1 << 24
 
 
+def united(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Each node's component over links (a, b), as its smallest node; ``root`` is 0, 1, ..."""
+    while len(a):  # smallest label over edges, then pointers to pointers
+        least = np.minimum(root[a], root[b])
+        before = root.copy()
+        np.minimum.at(root, root[a], least)
+        np.minimum.at(root, root[b], least)
+        np.minimum.at(root, a, least)
+        np.minimum.at(root, b, least)
+        while (root != root[root]).any():
+            root = root[root]
+        if (root == before).all():
+            break
+    return root
+
+
 def label_runs(group: np.ndarray, y: np.ndarray, x0: np.ndarray, x1: np.ndarray, cls: np.ndarray) -> np.ndarray:
     """For disjoint runs sorted by (group, y, x0), of which touching ones in a row differ
     in class: each run's region as the first run of the region."""
@@ -43,19 +59,7 @@ def label_runs(group: np.ndarray, y: np.ndarray, x0: np.ndarray, x1: np.ndarray,
     a = np.repeat(np.arange(n), many)
     b = np.arange(len(a)) + np.repeat(first - (np.cumsum(many) - many), many)
     same = cls[a] == cls[b]
-    a, b = a[same], b[same]
-    while len(a):  # smallest label over edges, then pointers to pointers
-        least = np.minimum(root[a], root[b])
-        before = root.copy()
-        np.minimum.at(root, root[a], least)
-        np.minimum.at(root, root[b], least)
-        np.minimum.at(root, a, least)
-        np.minimum.at(root, b, least)
-        while (root != root[root]).any():
-            root = root[root]
-        if (root == before).all():
-            break
-    return root
+    return united(root, a[same], b[same])
 
 
 def _joined(image, tile, y, x0, x1, cls) -> list[np.ndarray]:

@@ -5,6 +5,8 @@ equal labels meet in an equi-join on image, tile and label, pruned by the strip
 along the shared side and by boxes; exact distances come from runs of nearby rows.
 Links closer than the tolerance give objects by connected components; objects of
 several regions are closed by a square of the tolerance, others pass unchanged.
+That is what is done with large images; ``whole`` does the same to small ones, without
+a join of runs.
 """
 
 from __future__ import annotations
@@ -16,30 +18,42 @@ from pyspark.sql import functions as F
 
 from ..functions.regions import covered, nearest
 from ..tables import components, dealt, written
+from . import whole
 from .tiling import neighbours
 
+#: Rows of an image that one task merges at most: a run counts once for each row of cells
+#: that closing spreads it to, a tile twice.
+ONE_TASK_ROWS = 1 << 19
+
 
 def boxes(runs: DataFrame) -> DataFrame:
     return runs.groupBy("image_id", "tile_id", "rid", "label").agg(F.min("x0").alias("minx"), F.min("y").alias("miny"), F.max("x1").alias("maxx"), (F.max("y") + 1).alias("maxy"), F.sum(F.col("x1") - F.col("x0")).alias("area"))
 
 
+def sides(tiles: DataFrame, tolerance: float) -> DataFrame:
+    """(image_id, tile_id, other, across, a_from, b_to): each tile's right and bottom
+    neighbours.  Regions of the tile that end at ``a_from`` or later and regions of the
+    neighbour that begin at ``b_to`` or earlier reach the strips along the shared side."""
+    if tolerance is None or tolerance < 0:
+        raise ValueError("the tolerance must be a number, 0 or more")
+    near = neighbours(tiles, "off_x", "off_y", "tile_w", "tile_h")
+    side = lambda other, end, across: F.struct(F.col(other).alias("other"), (F.col(end[0]) + F.col(end[1])).alias("end"), F.lit(across).alias("across"))
+    near = near.select("image_id", "tile_id", F.explode(F.array(side("right", ("off_x", "tile_w"), True), side("bottom", ("off_y", "tile_h"), False))).alias("s")).select("image_id", "tile_id", "s.*").where("other IS NOT NULL")
+    far = tiles.select("image_id", F.col("tile_id").alias("other"), F.col("off_x").alias("ox"), F.col("off_y").alias("oy"))
+    begin = F.when(F.col("across"), F.col("ox")).otherwise(F.col("oy"))
+    strip = tolerance + F.col("end") - begin
+    return near.join(dealt(far), ["image_id", "other"]).select("image_id", "tile_id", "other", "across", (F.col("end") - strip).alias("a_from"), (begin + strip).alias("b_to"))
+
+
 def candidates(regions: DataFrame, tiles: DataFrame, tolerance: float, labelled: bool = True) -> DataFrame:
     """(image_id, a, b): pairs of regions of neighbouring tiles whose boxes reach the
     strips along the shared side and lie within the tolerance of one another."""
-    if tolerance is None or tolerance < 0:
-        raise ValueError("the tolerance must be a number, 0 or more")
-    place = ["off_x", "off_y", "tile_w", "tile_h"]
-    near = neighbours(tiles, *place)
-    sides = near.select("image_id", "tile_id", *place, F.explode(F.array(F.struct(F.col("right").alias("other"), F.lit(True).alias("across")), F.struct(F.col("bottom").alias("other"), F.lit(False).alias("across")))).alias("s")).select("image_id", "tile_id", *place, "s.*").where("other IS NOT NULL")
-    far = tiles.select("image_id", F.col("tile_id").alias("other"), F.col("off_x").alias("ox"), F.col("off_y").alias("oy"), F.col("tile_w").alias("ow"), F.col("tile_h").alias("oh"))
-    sides = sides.join(dealt(far), ["image_id", "other"])
-    strip = tolerance + F.when(F.col("across"), F.col("off_x") + F.col("tile_w") - F.col("ox")).otherwise(F.col("off_y") + F.col("tile_h") - F.col("oy"))
-    sides = sides.withColumn("strip", strip)
+    near = sides(tiles, tolerance)
     a = regions.select("image_id", "tile_id", F.col("rid").alias("a"), "label", *[F.col(c).alias(f"a_{c}") for c in ("minx", "miny", "maxx", "maxy")])
     b = regions.select("image_id", F.col("tile_id").alias("other"), F.col("rid").alias("b"), F.col("label").alias("b_label"), *[F.col(c).alias(f"b_{c}") for c in ("minx", "miny", "maxx", "maxy")])
-    a = a.join(dealt(sides), ["image_id", "tile_id"]).where(F.when(F.col("across"), F.col("a_maxx") >= F.col("off_x") + F.col("tile_w") - F.col("strip")).otherwise(F.col("a_maxy") >= F.col("off_y") + F.col("tile_h") - F.col("strip")))
+    a = a.join(dealt(near), ["image_id", "tile_id"]).where(F.when(F.col("across"), F.col("a_maxx")).otherwise(F.col("a_maxy")) >= F.col("a_from"))
     pairs = a.join(dealt(b), ["image_id", "other"])
-    pairs = pairs.where(F.when(F.col("across"), F.col("b_minx") <= F.col("ox") + F.col("strip")).otherwise(F.col("b_miny") <= F.col("oy") + F.col("strip")))
+    pairs = pairs.where(F.when(F.col("across"), F.col("b_minx")).otherwise(F.col("b_miny")) <= F.col("b_to"))
     if labelled:
         pairs = pairs.where("label = b_label")
     gap_x = F.greatest(F.col("a_minx") - F.col("b_maxx"), F.col("b_minx") - F.col("a_maxx"), F.lit(0))
@@ -83,9 +97,22 @@ def cells_of(runs: DataFrame) -> DataFrame:
     return runs.select(*[c for c in runs.columns if c not in ("x0", "x1")], F.explode(F.sequence("x0", F.col("x1") - 1)).alias("x"))
 
 
-def merge(runs: DataFrame, tiles: DataFrame, tolerance: float = 1, labelled: bool = True) -> DataFrame:
-    """(image_id, object_id, label, y, x0, x1): runs of the merged objects."""
+def merge(runs: DataFrame, tiles: DataFrame, tolerance: float = 1, labelled: bool = True, one_task: int = ONE_TASK_ROWS) -> DataFrame:
+    """(image_id, object_id, label, y, x0, x1): runs of the merged objects.  Images of at
+    most ``one_task`` rows are merged whole, many in a call; larger ones by joins."""
+    near = sides(tiles, tolerance)
     runs = written(runs, "runs")
+    rows = runs.select("image_id", F.lit(2 * math.ceil(tolerance) + 1).alias("n")).union(tiles.select("image_id", F.lit(2).alias("n")))
+    rows = rows.where("image_id IS NOT NULL").groupBy("image_id").agg(F.sum("n").alias("n")).where(F.col("n") > one_task)
+    large = [r.image_id for r in rows.select("image_id").collect()]  # one in so many rows at most
+    if not large:
+        return whole.merged(runs, near, tolerance, labelled)
+    among = F.col("image_id").isin(large)
+    return whole.merged(runs.where(~among), near.where(~among), tolerance, labelled).unionByName(merge_by_joins(runs.where(among), tiles.where(among), tolerance, labelled))
+
+
+def merge_by_joins(runs: DataFrame, tiles: DataFrame, tolerance: float, labelled: bool) -> DataFrame:
+    """As ``merge``, of images of any size: no task holds more than a few rows of one."""
     regions = written(boxes(runs), "regions")
     linked = links(candidates(regions, tiles, tolerance, labelled), runs, tolerance)
     member = written(objects_of(regions, linked), "members")
